@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spliceframe.llm import cooccurrence, percentiles
+from spliceframe.llm import cooccurrence, leakage, normalize, packing, percentiles
 from spliceframe.operators.keyed_totals import gene_key
 from spliceframe.sources.tables import table
 
+CONTAINER_TOKENS = 2048
 P_FOUND = {"p25": 2500, "p50": 5000, "p75": 7500, "p99": 9900}
 
 
@@ -52,5 +53,45 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("bam_file", "a_start", "a_end", "b_start", "b_end", "n_ab", "n_a", "n_b", "n", *((F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) for c in ("lift", "conviction")))
 
 
+def _packing(spark: SparkSession, folder: str) -> packing.Packing:
+    return packing.pack(packing.token_sizes(table(spark, folder, "documents")), CONTAINER_TOKENS)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packing(spark, folder).rows.where((F.col("parts") > 1) & (F.col("part_no") == 0)).select("doc_id")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packing(spark, folder).rows.select("doc_id", "part_no", F.col("size").alias("n_tokens"), "container_id")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers by how full they are (in tenths), with the certified lower bound of their number."""
+    done = _packing(spark, folder)
+    fill = done.rows.groupBy("container_id").agg(F.sum("size").alias("n_tokens"), F.count(F.lit(1)).alias("pieces"))
+    tenth = F.ceil(F.col("n_tokens") * 10 / CONTAINER_TOKENS).cast("int")
+    by = fill.groupBy(tenth.alias("tenths_full")).agg(F.count(F.lit(1)).alias("containers"), F.sum("n_tokens").alias("n_tokens"), F.sum("pieces").alias("pieces"))
+    return by.select("*", F.lit(done.containers).alias("all_containers"), F.lit(done.bound).alias("lower_bound"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans of words of a post that it shares with an item."""
+    return leakage.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return normalize.same_looking_pairs(table(spark, folder, "documents"))
+
+
+def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every post, with and without case."""
+    return normalize.normalized(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "form", "folded")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_percentiles, p2_combined_days, p5_found, p5_pairs)}
+    own = (p2_found, p2_percentiles, p2_combined_days, p5_found, p5_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p8_found, p8_forms)
+    return {f.__name__: f for f in own}
