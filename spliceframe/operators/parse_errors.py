@@ -81,11 +81,14 @@ def parsed_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:
 
 
 def invalid_values(lines: DataFrame) -> DataFrame:
-    """The dictionary (column, value, reason): every distinct value of a checked column is validated once."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_{c}").alias("value"), F.lit(r).alias("reason")) for _, c, r in CHECKED))
+    """The dictionary (column, value, reason, n_lines): every distinct value of a checked column is validated once."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_{c}").alias("value")) for _, c, _ in CHECKED))
     values = lines.where(F.col("_structure").isNull()).select(F.explode(pairs).alias("p")).select("p.*")
-    distinct = values.groupBy("column", "value").agg(F.first("reason").alias("reason"))
-    return distinct.where(~_valid(F.col("column"), F.col("value")))
+    distinct = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n_lines"))
+    # the count keeps the check behind the aggregation; it would else be pushed down to every line
+    invalid = distinct.where(F.when(F.col("n_lines") > 0, ~_valid(F.col("column"), F.col("value"))))
+    reasons = F.create_map(*(F.lit(x) for _, c, r in CHECKED for x in (c, r)))
+    return invalid.select("column", "value", reasons[F.col("column")].alias("reason"), "n_lines")
 
 
 def checked_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:

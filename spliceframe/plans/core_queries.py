@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spliceframe.operators.compaction import compact, duplicated
 from spliceframe.operators.keyed_totals import frequent_keys, gene_key, keyed_totals
 from spliceframe.operators.parse_errors import split_valid
+from spliceframe.plans import junction_queries
 from spliceframe.session import shared_folder, staged
 from spliceframe.sources.tables import table
 
@@ -70,4 +71,4 @@ def p4_compacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_gene_junc_totals, p1_transcript_totals, p3_found, p3_valid_rows, p4_found, p4_compacted)}
+    return {f.__name__: f for f in (p1_found, p1_gene_junc_totals, p1_transcript_totals, p3_found, p3_valid_rows, p4_found, p4_compacted)} | junction_queries.queries()
