@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def attributes(text: Column) -> Column:
     """map of a GTF (``key "value";`` or ``key value``) or GFF3 (``key=value;``) attribute column; the last of repeated keys wins."""
     gff = text.contains("=") & ~text.rlike(r'\w+\s+"')
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
     pairs = F.transform(parts, lambda p: F.when(gff, F.split(p, "=", 2)).otherwise(F.split(p, r"\s+", 2)))
     named = F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(F.trim(p[0]).alias("k"), F.regexp_replace(F.trim(p[1]), r'^"|"$', "").alias("v")))
     last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["k"] == x["k"]))

@@ -19,23 +19,22 @@ EPS = 1e-10
 RESULT = "gene_id string, k int, node_id int, member boolean, share double, expected_count double, iterations int, elbo double"
 
 
-def heaviest_set(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mask of the independent set of intervals with the greatest sum of positive weights (touching ends may both be in)."""
+def heaviest_sets(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each row of weights the mask of the independent set of intervals with the greatest sum of positive weights (touching ends may
+    both be in). Walks the intervals by end, all rows at once."""
     order = np.argsort(ends, kind="stable")
-    w, s, e = weights[order], starts[order], ends[order]
-    before = np.searchsorted(e, s, "right")
-    before = np.minimum(before, np.arange(len(w)))
-    best = np.zeros(len(w) + 1)
-    for i in range(len(w)):
-        best[i + 1] = max(best[i], best[before[i]] + w[i]) if w[i] > 0 else best[i]
-    mask = np.zeros(len(w), bool)
-    i = len(w)
-    while i > 0:
-        if best[i] > best[i - 1]:
-            mask[order[i - 1]] = True
-            i = before[i - 1]
-        else:
-            i -= 1
+    w, s, e = weights[:, order], starts[order], ends[order]
+    before = np.minimum(np.searchsorted(e, s, "right"), np.arange(len(s)))
+    rows, n = w.shape
+    best = np.zeros((rows, n + 1))
+    for i in range(n):
+        best[:, i + 1] = np.maximum(best[:, i], best[:, before[i]] + np.maximum(w[:, i], 0))
+    mask = np.zeros(w.shape, bool)
+    at = np.full(rows, n)
+    for i in range(n, 0, -1):
+        taken = (at == i) & (best[:, i] > best[:, i - 1])
+        mask[taken, order[i - 1]] = True
+        at = np.where(taken, before[i - 1], np.where(at == i, i - 1, at))
     return mask
 
 
@@ -48,7 +47,7 @@ class Mixture:
         self.rng = np.random.default_rng(seed)
         d, v = x.shape
         self.phi = self.rng.dirichlet(np.ones(k), size=(d, v))
-        self.b = np.vstack([heaviest_set(self.rng.random(v), starts, ends) for _ in range(k)]).astype(float)
+        self.b = heaviest_sets(self.rng.random((k, v)), starts, ends).astype(float)
         self.logits = np.zeros((k, v))
         self.zeta = self.rng.gamma(1.0, 1.0, (k, v)) + self.b
         self.global_step()
@@ -72,10 +71,10 @@ class Mixture:
             self.gamma = self.alpha + np.einsum("dv,dvk->dk", self.x, self.phi)
         scale = len(self.x) / len(self.x[rows])
         a, b = self.r + self.b.sum(1), np.maximum(self.s + self.b.shape[1] - self.b.sum(1), EPS)
-        wanted = (digamma(a) - digamma(b))[:, None] + self.log_beta() - np.log(1 / self.x.shape[1])
+        wanted = (digamma(a) - digamma(b))[:, None] + self.log_beta() + np.log(self.x.shape[1])  # against an even share
         self.logits = 0.7 * self.logits + 0.3 * np.clip(wanted, -50, 50)
-        self.b = np.vstack([np.where(heaviest_set(w, self.starts, self.ends), 1 / (1 + np.exp(-w)), EPS) for w in self.logits])
-        target = self.eta * self.b + scale * np.einsum("dv,dvk->kv", self.x[rows], self.phi[rows]) * (self.b > EPS * 2)
+        self.b = np.where(heaviest_sets(self.logits, self.starts, self.ends), 1 / (1 + np.exp(-self.logits)), EPS)
+        target = self.eta * self.b + scale * np.einsum("dv,dvk->kv", self.x[rows], self.phi[rows])
         self.zeta = np.maximum((1 - 0.5 * rate) * self.zeta + 0.5 * rate * target, EPS)
 
     def elbo(self) -> float:
@@ -153,4 +152,6 @@ def inferred(matrix: DataFrame, nodes: DataFrame, cliques: DataFrame, method: st
     """
     genes = cliques.where(F.col("clique_number") >= 2).select("gene_id", "clique_number")
     rows = matrix.where(F.col("sample_id").isNotNull()).join(nodes.select("gene_id", "node_id", "jx_start", "jx_end"), ["gene_id", "node_id"]).join(genes, "gene_id")
+    # spread by a set number: the rows are few, so they would be coalesced, but the work on each gene is long
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "gene_id")
     return rows.groupBy("gene_id").applyInPandas(_fit(method, iterations, seed), RESULT)

@@ -74,7 +74,7 @@ def oracle_sql() -> dict[str, str]:
         "tiled_windows": _sql(_A + "blk", "SELECT chrom, CAST(b // 500 AS INT) AS tile, count(*) AS bases FROM (SELECT chrom, unnest(range(s, e)) AS b FROM blk) GROUP BY ALL"),
         "region_stats": _sql("j g", """, je AS (SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, jx_start AS pos, 1 AS d FROM j WHERE jx_end > jx_start UNION ALL SELECT chrom, jx_end, -1 FROM j WHERE jx_end > jx_start) GROUP BY 1, 2 HAVING sum(d) <> 0),
 jr AS (SELECT chrom, pos AS s, lead(pos) OVER w AS e, sum(d) OVER w AS depth FROM je WINDOW w AS (PARTITION BY chrom ORDER BY pos))
-SELECT gene_id, CAST(coalesce(sum(depth * (least(e, g_end) - greatest(s, g_start))), 0) AS BIGINT) AS bases, CAST(coalesce(sum(least(e, g_end) - greatest(s, g_start)), 0) AS BIGINT) AS covered,
+SELECT gene_id, CAST(coalesce(sum(depth * (least(e, g_end) - greatest(s, g_start))), 0) AS BIGINT) AS bases, CAST(coalesce(sum(CASE WHEN depth > 0 THEN least(e, g_end) - greatest(s, g_start) END), 0) AS BIGINT) AS covered,
   CAST(coalesce(min(depth), 0) AS BIGINT) AS min_depth, CAST(coalesce(max(depth), 0) AS BIGINT) AS max_depth FROM g LEFT JOIN jr ON jr.chrom = g.chrom AND s < g_end AND e > g_start AND depth > 0 WHERE g_start < g_end GROUP BY 1"""),
         "merge_nearby": _sql("g", """, o AS (SELECT *, max(g_end) OVER (PARTITION BY chrom ORDER BY g_start, g_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR g_start - reach >= 2200 THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY g_start, g_end ROWS UNBOUNDED PRECEDING) AS isl FROM o)
