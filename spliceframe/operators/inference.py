@@ -39,106 +39,120 @@ def heaviest_sets(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 
 class Mixture:
-    """State of one gene: x samples x nodes, k clusters."""
+    """State of one gene. Counts are sparse: entry i is ``count[i]`` reads of sample ``d[i]`` at node ``v[i]``, sorted by sample; phi is entries x k."""
 
-    def __init__(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, seed: int, alpha: float = 1.0, eta: float = 0.01, r: float = 1.0, s: float = 1.0):
-        self.x, self.starts, self.ends, self.k = x, starts, ends, k
+    def __init__(self, d: np.ndarray, v: np.ndarray, count: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, seed: int, alpha: float = 1.0, eta: float = 0.01, r: float = 1.0, s: float = 1.0):
+        self.d, self.v, self.count, self.starts, self.ends, self.k = d, v, count.astype(float), starts, ends, k
         self.alpha, self.eta, self.r, self.s = alpha, eta, r, s
+        self.samples, self.nodes = int(d.max()) + 1, len(starts)
         self.rng = np.random.default_rng(seed)
-        d, v = x.shape
-        self.phi = self.rng.dirichlet(np.ones(k), size=(d, v))
-        self.b = heaviest_sets(self.rng.random((k, v)), starts, ends).astype(float)
-        self.logits = np.zeros((k, v))
-        self.zeta = self.rng.gamma(1.0, 1.0, (k, v)) + self.b
+        self.phi = self.rng.dirichlet(np.ones(k), size=len(d))
+        self.fit = 0.0
+        self.b = heaviest_sets(self.rng.random((k, self.nodes)), starts, ends).astype(float)
+        self.logits = np.zeros((k, self.nodes))
+        self.zeta = self.rng.gamma(1.0, 1.0, (k, self.nodes)) + self.b
+        self.gamma = self.alpha + self.per(self.d, self.samples)
         self.global_step()
 
+    def per(self, index: np.ndarray, size: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Expected counts of each cluster (columns) per value of the index of the entries ``rows``."""
+        weighted = self.count[rows, None] * self.phi[rows]
+        at = index[rows]
+        order = np.argsort(at, kind="stable")
+        out = np.zeros((size, self.k))
+        if len(at):
+            values, begin = np.unique(at[order], return_index=True)
+            out[values] = np.add.reduceat(weighted[order], begin)
+        return out
+
     def log_beta(self) -> np.ndarray:
         return digamma(self.zeta) - digamma(self.zeta.sum(1, keepdims=True))
 
-    def log_theta(self, rows: slice | np.ndarray = slice(None)) -> np.ndarray:
-        g = self.gamma[rows]
-        return digamma(g) - digamma(g.sum(1, keepdims=True))
-
-    def local_step(self, rows: slice | np.ndarray = slice(None)) -> None:
-        logp = self.log_theta(rows)[:, None, :] + self.log_beta().T[None, :, :]
-        p = np.exp(logp - logp.max(2, keepdims=True))
-        self.phi[rows] = p / p.sum(2, keepdims=True)
-        self.gamma[rows] = self.alpha + np.einsum("dv,dvk->dk", self.x[rows], self.phi[rows])
-
-    def global_step(self, rows: slice | np.ndarray = slice(None), rate: float = 1.0) -> None:
+    def log_theta(self) -> np.ndarray:
+        return digamma(self.gamma) - digamma(self.gamma.sum(1, keepdims=True))
+
+    def local_step(self, rows: np.ndarray | slice = slice(None)) -> None:
+        """Shares of the entries ``rows``, whole samples, and their samples' mixtures."""
+        logp = self.log_theta()[self.d[rows]] + self.log_beta().T[self.v[rows]]
+        top = logp.max(1, keepdims=True)
+        p = np.exp(logp - top)
+        total = p.sum(1, keepdims=True)
+        self.phi[rows] = p / total
+        self.fit = float(self.count[rows] @ (np.log(total) + top)[:, 0])
+        touched = np.unique(self.d[rows])
+        self.gamma[touched] = self.alpha + self.per(self.d, self.samples, rows)[touched]
+
+    def global_step(self, rows: np.ndarray | slice = slice(None), rate: float = 1.0) -> None:
         """Masks, their prior and the node weights; counts of ``rows`` scaled to all samples, moved by ``rate``."""
-        if not hasattr(self, "gamma"):
-            self.gamma = self.alpha + np.einsum("dv,dvk->dk", self.x, self.phi)
-        scale = len(self.x) / len(self.x[rows])
-        a, b = self.r + self.b.sum(1), np.maximum(self.s + self.b.shape[1] - self.b.sum(1), EPS)
-        wanted = (digamma(a) - digamma(b))[:, None] + self.log_beta() + np.log(self.x.shape[1])  # against an even share
+        scale = self.samples / max(1, len(np.unique(self.d[rows])))
+        a, b = self.r + self.b.sum(1), np.maximum(self.s + self.nodes - self.b.sum(1), EPS)
+        wanted = (digamma(a) - digamma(b))[:, None] + self.log_beta() + np.log(self.nodes)  # against an even share
         self.logits = 0.7 * self.logits + 0.3 * np.clip(wanted, -50, 50)
         self.b = np.where(heaviest_sets(self.logits, self.starts, self.ends), 1 / (1 + np.exp(-self.logits)), EPS)
-        target = self.eta * self.b + scale * np.einsum("dv,dvk->kv", self.x[rows], self.phi[rows])
+        target = self.eta * self.b + scale * self.per(self.v, self.nodes, rows).T
         self.zeta = np.maximum((1 - 0.5 * rate) * self.zeta + 0.5 * rate * target, EPS)
 
     def elbo(self) -> float:
-        """Terms of the bound that change with the state."""
+        """The bound right after a local step over all entries, up to constants."""
         lt, lb = self.log_theta(), self.log_beta()
-        words = np.einsum("dv,dvk,dvk->", self.x, self.phi, lt[:, None, :] + lb.T[None] - np.log(self.phi + EPS))
         theta = ((self.alpha - self.gamma) * lt).sum() + (gammaln(self.gamma).sum(1) - gammaln(self.gamma.sum(1))).sum()
         beta = ((self.eta * self.b - self.zeta) * lb).sum() + (gammaln(self.zeta).sum(1) - gammaln(self.zeta.sum(1))).sum()
         p = np.clip(self.b, EPS, 1 - EPS)
-        return float(words + theta + beta - (p * np.log(p) + (1 - p) * np.log(1 - p)).sum())
+        return float(self.fit + theta + beta - (p * np.log(p) + (1 - p) * np.log(1 - p)).sum())
 
     def cavi(self, iterations: int, tolerance: float = 2e-5) -> int:
         last = -np.inf
         for i in range(iterations):
             self.local_step()
-            self.global_step()
             now = self.elbo()
+            self.global_step()
             if abs(now - last) < tolerance:
                 return i + 1
             last = now
         return iterations
 
     def svi(self, iterations: int, kappa: float = 0.7, delay: float = 10.0) -> int:
-        d = len(self.x)
         for i in range(iterations):
-            rows = self.rng.choice(d, max(1, d // 10), replace=False)
-            for _ in range(3):
-                self.local_step(rows)
-            self.global_step(rows, (delay + i) ** -kappa * 2)
+            batch = self.rng.choice(self.samples, max(1, self.samples // 10), replace=False)
+            rows = np.flatnonzero(np.isin(self.d, batch))
+            if len(rows):
+                for _ in range(3):
+                    self.local_step(rows)
+                self.global_step(rows, (delay + i) ** -kappa * 2)
         self.local_step()
         return iterations
 
     def gibbs(self, iterations: int) -> int:
-        d, v = self.x.shape
-        counts = np.zeros((d, v, self.k))
-        kept = 0
+        kept, sum_ = 0, np.zeros_like(self.phi)
         for i in range(iterations):
             theta = np.vstack([self.rng.dirichlet(g) for g in self.gamma])
             beta = np.vstack([self.rng.dirichlet(np.maximum(z, 1e-3)) for z in self.zeta])
-            p = theta[:, None, :] * beta.T[None] + 1e-12
-            z = self.rng.multinomial(self.x.astype(np.int64), p / p.sum(2, keepdims=True))
-            self.phi = np.where(self.x[:, :, None] > 0, z / np.maximum(self.x, 1)[:, :, None], 1 / self.k)
-            self.gamma = self.alpha + z.sum(1)
+            p = theta[self.d] * beta.T[self.v] + 1e-12
+            z = self.rng.multinomial(self.count.astype(np.int64), p / p.sum(1, keepdims=True))
+            self.phi = z / np.maximum(self.count, 1)[:, None]
+            self.gamma = self.alpha + self.per(self.d, self.samples)
             self.global_step()
             if i >= iterations // 2:
-                counts += self.phi
+                sum_ += self.phi
                 kept += 1
-        self.phi = counts / max(kept, 1)
+        self.phi = sum_ / max(kept, 1)
         return iterations
 
 
 def _fit(method: str, iterations: int, seed: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sample_id", "node_id"])  # the result must not depend on the order of arrival
         gene = pdf["gene_id"].iloc[0]
         nodes = pdf.drop_duplicates("node_id").sort_values("node_id")
         samples = np.sort(pdf["sample_id"].unique())
-        at = {n: i for i, n in enumerate(nodes["node_id"])}
-        x = np.zeros((len(samples), len(nodes)))
-        np.add.at(x, (np.searchsorted(samples, pdf["sample_id"]), pdf["node_id"].map(at).to_numpy()), pdf["count"].to_numpy())
+        d = np.searchsorted(samples, pdf["sample_id"])
+        order = np.argsort(d, kind="stable")
+        v = np.searchsorted(nodes["node_id"].to_numpy(), pdf["node_id"])
         k = int(pdf["clique_number"].iloc[0])
-        m = Mixture(x, nodes["jx_start"].to_numpy(), nodes["jx_end"].to_numpy(), k, zlib.crc32(f"{seed}/{gene}".encode()))
+        m = Mixture(d[order], v[order], pdf["count"].to_numpy()[order], nodes["jx_start"].to_numpy(), nodes["jx_end"].to_numpy(), k, zlib.crc32(f"{seed}/{gene}".encode()))
         done = getattr(m, method)(iterations)
         share = m.zeta / m.zeta.sum(1, keepdims=True)
-        expected = np.einsum("dv,dvk->kv", x, m.phi)
+        expected = m.per(m.v, m.nodes).T
         kk, vv = np.meshgrid(np.arange(k), nodes["node_id"].to_numpy(), indexing="ij")
         return pd.DataFrame({"gene_id": gene, "k": kk.ravel(), "node_id": vv.ravel(), "member": (m.b > 0.5).ravel(), "share": share.ravel(), "expected_count": expected.ravel(), "iterations": done, "elbo": m.elbo()})
 

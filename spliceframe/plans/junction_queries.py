@@ -11,6 +11,7 @@ from spliceframe.operators import graph as gr
 from spliceframe.operators import inference as inf
 from spliceframe.operators import intervals as iv
 from spliceframe.operators import reads as rd
+from spliceframe.session import staged
 from spliceframe.sources import bridge
 from spliceframe.sources.tables import table
 
@@ -210,7 +211,7 @@ def transcript_exons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _inferred(spark: SparkSession, folder: str, method: str, iterations: int) -> DataFrame:
-    nodes = _nodes(spark, folder)
+    nodes = staged(_nodes(spark, folder), "nodes")
     matrix = gr.document_matrix(bridge.junctions(spark, folder), nodes)
     return inf.inferred(matrix, nodes, gr.clique_numbers(nodes), method, iterations)
 
