@@ -46,7 +46,6 @@ def _pairs_between(left: Column, right: Column) -> Column:
 
 def _large_pairs(large: DataFrame, counts: DataFrame, source: str, least: int) -> DataFrame:
     """(source, weight, pair) of baskets above LARGE items, spread over tasks by pairs of item blocks."""
-    large = large.withColumn("_b", F.monotonically_increasing_id())
     rows = large.select(source, "weight", "_b", F.explode("items").alias("item"))
     frequent = counts.where(F.col("n_item") >= least).select(F.col(source).alias("_s"), F.col("item").alias("_i"))
     rows = rows.join(frequent, rows[source].eqNullSafe(F.col("_s")) & (rows["item"] == F.col("_i")), "left_semi")
@@ -65,13 +64,14 @@ def together(rows: DataFrame, source: str, basket: str, item: str, least: int) -
 
     Names of ``rows`` other than the three given don't matter. An empty table gives no pairs.
     """
-    rows = rows.select(F.col(source), F.col(basket).alias("_basket"), F.col(item).cast("long").alias("_item"))
+    name, source = source, "_source"
+    rows = rows.select(F.col(name).alias(source), F.col(basket).alias("_basket"), F.col(item).cast("long").alias("_item"))
     baskets = staged(collapsed(rows, source, "_basket", "_item"), "baskets")
     counts = baskets.select(source, "weight", F.explode("items").alias("item")).groupBy(source, "item").agg(F.sum("weight").alias("n_item"))
     totals = staged(baskets.groupBy(source).agg(F.sum("weight").alias("n")), "sources")
     size = F.size("items")
     pairs = baskets.where(size.between(2, LARGE)).select(source, "weight", F.explode(_pairs_within(F.col("items"))).alias("pair"))
-    large = baskets.where(size > LARGE)
+    large = staged(baskets.where(size > LARGE).withColumn("_b", F.monotonically_increasing_id()), "large-baskets")
     if not large.isEmpty():
         pairs = pairs.unionByName(_large_pairs(large, counts, source, least))
     summed = pairs.groupBy(source, "pair.a", "pair.b").agg(F.sum("weight").alias("n_ab")).where(F.col("n_ab") >= least)
@@ -83,7 +83,7 @@ def together(rows: DataFrame, source: str, basket: str, item: str, least: int) -
     for side in "ab":
         out = out.join(one(side), out[source].eqNullSafe(F.col(f"_s{side}")) & (F.col(side) == F.col(f"_i{side}")))
     totals = hinted(totals.select(F.col(source).alias("_s"), "n"))
-    return out.join(totals, F.col(source).eqNullSafe(F.col("_s"))).select(source, "a", "b", "n_ab", "n_a", "n_b", "n")
+    return out.join(totals, F.col(source).eqNullSafe(F.col("_s"))).select(F.col(source).alias(name), "a", "b", "n_ab", "n_a", "n_b", "n")
 
 
 def lift_at_least(pairs: DataFrame, times: int) -> DataFrame:

@@ -35,9 +35,17 @@ def rank_of(n: Column, per_scale: int | Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(n / SCALE).cast("long") * p + F.ceil((n % SCALE) * p / SCALE).cast("long"))
 
 
-def _sorted_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n (of the group), pieces, run (sorted values). Groups above RUN values are cut by row position, evenly."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_row"))
+def _own_names(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[Column], list[str]]:
+    """(the rows with a value under names that clash with none of ours, the keys as first named, our names of them)."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    v = F.col(f"`{value}`").cast("double")
+    rows = df.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)), v.alias("_v"))
+    return rows.where(F.col("_v").isNotNull() & ~F.isnan("_v")), [F.col(o).alias(k) for k, o in zip(keys, own)], own
+
+
+def _sorted_runs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pieces, run (sorted values). Groups above RUN values are cut by row position, evenly."""
+    rows = df.select(*keys, "_v", F.monotonically_increasing_id().alias("_row"))
     sizes = df.groupBy(*keys).count()
     large = staged(sizes.where(F.col("count") > RUN).select(*(F.col(k).alias(f"_{k}") for k in keys), F.ceil(F.col("count") / RUN).cast("long").alias("pieces")), "large-groups")
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
@@ -52,10 +60,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, int]
     Null and NaN values are left out (filter with :func:`usable` for more); infinities are values like others. Null keys form groups. Equal
     values and repeated rows count each. A group without values gives no row; an empty table none.
     """
-    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    runs = staged(_sorted_runs(df, keys, value), "runs")
+    df, named, keys = _own_names(df, keys, value)
+    runs = staged(_sorted_runs(df, keys), "runs")
     n = F.size("run").cast("long")
-    small = runs.where(F.col("pieces") == 1).select(*keys, n.alias("n"), *(F.col("run")[rank_of(n, p).cast("int") - 1].alias(c) for c, p in wanted.items()))
+    small = runs.where(F.col("pieces") == 1).select(*named, n.alias("n"), *(F.col("run")[rank_of(n, p).cast("int") - 1].alias(c) for c, p in wanted.items()))
     long_runs = runs.where(F.col("pieces") > 1)
     groups = staged(long_runs.groupBy(*keys).agg(F.sum(n).alias("n")).withColumn("gid", F.monotonically_increasing_id()), "groups")
     if groups.isEmpty():
@@ -64,7 +72,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, int]
     own = long_runs.join(hinted(groups), on).select("gid", "run")
     found = select_ranks(own, groups, list(wanted.values()))
     wide = found.groupBy("gid").agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(c) for c, p in wanted.items()))
-    large = groups.join(wide, "gid").select(*keys, "n", *wanted)
+    large = groups.join(wide, "gid").select(*named, "n", *wanted)
     return small.unionByName(large)
 
 
@@ -180,11 +188,11 @@ def summaries(df: DataFrame, keys: list[str], value: str, steps: int = 400) -> D
     if SCALE % steps:
         raise ValueError(f"steps must divide {SCALE}")
     names = {f"q{i}": i * (SCALE // steps) for i in range(1, steps + 1)}
-    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    runs = staged(_sorted_runs(df, keys, value), "runs")
+    df, named, keys = _own_names(df, keys, value)
+    runs = staged(_sorted_runs(df, keys), "runs")
     n = F.size("run").cast("long")
     ranks = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.col("run")[rank_of(n, i * (SCALE // steps)).cast("int") - 1])
-    small = runs.where(F.col("pieces") == 1).select(*keys, n.alias("n"), F.when(n <= steps, F.col("run")).otherwise(ranks).alias("points"))
+    small = runs.where(F.col("pieces") == 1).select(*named, n.alias("n"), F.when(n <= steps, F.col("run")).otherwise(ranks).alias("points"))
     long_runs = runs.where(F.col("pieces") > 1)
     groups = staged(long_runs.groupBy(*keys).agg(F.sum(n).alias("n")).withColumn("gid", F.monotonically_increasing_id()), "groups")
     if groups.isEmpty():
@@ -192,7 +200,7 @@ def summaries(df: DataFrame, keys: list[str], value: str, steps: int = 400) -> D
     own = long_runs.join(hinted(groups), [long_runs[k].eqNullSafe(groups[k]) for k in keys]).select("gid", "run")
     found = select_ranks(own, groups, list(names.values()))
     points = found.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("p", "value"))).alias("of"))
-    large = groups.join(points, "gid").select(*keys, "n", F.transform("of", lambda x: x["value"]).alias("points"))
+    large = groups.join(points, "gid").select(*named, "n", F.transform("of", lambda x: x["value"]).alias("points"))
     return small.unionByName(large)
 
 

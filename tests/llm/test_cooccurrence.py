@@ -28,8 +28,8 @@ def test_equals_brute_force(spark, monkeypatch, large):
     rows = [(r.choice(["s", "s", "t", None]), f"b{r.randrange(60)}", r.randrange(-9, 9)) for _ in range(700)]
     rows += [("s", None, 1), ("s", "b1", None)] + [("s", "huge", i) for i in range(-9, 30)] + rows[:50]
     df = spark.createDataFrame(rows, "src string, basket string, item long").withColumn("weight", F.lit("x"))
-    got = co.together(df, "src", "basket", "item", 3)
-    assert got.columns == ["src", "a", "b", "n_ab", "n_a", "n_b", "n"]
+    got = co.together(df.withColumnRenamed("src", "items"), "items", "basket", "item", 3)
+    assert got.columns == ["items", "a", "b", "n_ab", "n_a", "n_b", "n"]
     assert {tuple(x) for x in got.collect()} == _truth(rows, 3)
 
 

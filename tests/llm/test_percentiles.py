@@ -52,3 +52,9 @@ def test_days_combine_within_the_stated_error(spark, monkeypatch):
 def test_usable(spark):
     df = spark.createDataFrame([(1.0,), (0.0,), (-1.0,), (None,), (float("nan"),), (float("inf"),)], "v double")
     assert [r["v"] for r in df.where(pc.usable(F.col("v"))).collect()] == [1.0]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", "x", 1.0, 5), ("a", "x", 3.0, 6), (None, "x", 2.0, 7)], "run string, n string, pieces double, count int")
+    got = pc.quantiles(df, ["run"], "pieces", {"p50": 5000})
+    assert got.columns == ["run", "n", "p50"] and {tuple(r) for r in got.collect()} == {("a", 2, 1.0), (None, 1, 2.0)}
