@@ -11,7 +11,7 @@ def attributes(text: Column) -> Column:
     gff = text.contains("=") & ~text.rlike(r'\w+\s+"')
     parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
     pairs = F.transform(parts, lambda p: F.when(gff, F.split(p, "=", 2)).otherwise(F.split(p, r"\s+", 2)))
-    named = F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(F.trim(p[0]).alias("k"), F.regexp_replace(F.trim(p[1]), r'^"|"$', "").alias("v")))
+    named = F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(F.trim(F.get(p, F.lit(0))).alias("k"), F.regexp_replace(F.trim(F.get(p, F.lit(1))), r'^"|"$', "").alias("v")))
     last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
@@ -20,8 +20,8 @@ def features(lines: DataFrame, line: str = "value") -> DataFrame:
     """Nine-column annotation lines as columns; short lines, comments and non-integer coordinates are left out, reversed ones swapped."""
     f = F.split(F.col(line), "\t")
     rows = lines.where(~F.col(line).startswith("#")).select(f.alias("f")).where(F.size("f") >= 9)
-    a, b = F.col("f")[3].try_cast("int"), F.col("f")[4].try_cast("int")
-    out = rows.select(F.col("f")[0].alias("chrom"), F.col("f")[2].alias("feature"), F.least(a, b).alias("start"), F.greatest(a, b).alias("end"), F.col("f")[6].alias("strand"), attributes(F.col("f")[8]).alias("attributes"), a.isNotNull().alias("_a"), b.isNotNull().alias("_b"))
+    a, b = F.get("f", F.lit(3)).try_cast("int"), F.get("f", F.lit(4)).try_cast("int")
+    out = rows.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(2)).alias("feature"), F.least(a, b).alias("start"), F.greatest(a, b).alias("end"), F.get("f", F.lit(6)).alias("strand"), attributes(F.get("f", F.lit(8))).alias("attributes"), a.isNotNull().alias("_a"), b.isNotNull().alias("_b"))
     return out.where(F.col("_a") & F.col("_b")).drop("_a", "_b")
 
 

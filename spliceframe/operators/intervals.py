@@ -42,14 +42,15 @@ def overlapping_pairs(df: DataFrame, keys: list[str], ident: str, start: str, en
     return j.select(*(F.col(f"_u{k}").alias(k) for k in keys), "u", "v", "u_start", "u_end", "v_start", "v_end")
 
 
-def depth_runs(df: DataFrame, keys: list[str], start: str, end: str, tile: int = 1_000_000) -> DataFrame:
+def depth_runs(df: DataFrame, keys: list[str], start: str, end: str, tile: int = 1_000_000, weight: Column | None = None) -> DataFrame:
     """(keys, start, end, depth): runs of equal depth under half-open intervals, inner runs of depth 0 included.
 
     The running sum is split by tiles: each tile sums its own events and adds the sum of the tiles before it, so that no task sorts a whole
-    chromosome. Intervals with end <= start count as none.
+    chromosome. Intervals with end <= start count as none. weight: what an interval adds (1 if not given).
     """
     df = df.where(F.col(end) > F.col(start))
-    ends = F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d"))))
+    w = F.lit(1) if weight is None else weight
+    ends = F.explode(F.array(F.struct(F.col(start).alias("pos"), w.alias("d")), F.struct(F.col(end).alias("pos"), (-w).alias("d"))))
     events = df.select(*keys, ends.alias("e")).groupBy(*keys, "e.pos").agg(F.sum("e.d").alias("d")).where(F.col("d") != 0)
     events = events.withColumn("_tile", _bin(F.col("pos"), tile))
     by_keys = Window.partitionBy(*keys).orderBy("_tile")

@@ -77,7 +77,7 @@ def parsed_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:
     lines = lines.withColumn("_fields", F.when(sound, fields))
     structure = F.when(F.col("_fields").isNull(), "quoting").when(~F.size("_fields").isin(*WIDTHS), "column_count")
     lines = lines.withColumn("_structure", structure)
-    return lines.select("*", *(F.when(F.col("_structure").isNull(), F.trim(F.col("_fields")[i])).alias(f"_{c}") for i, c, _ in CHECKED)).drop("_line", "_fields")
+    return lines.select("*", *(F.when(F.col("_structure").isNull(), F.trim(F.get("_fields", F.lit(i)))).alias(f"_{c}") for i, c, _ in CHECKED)).drop("_line", "_fields")
 
 
 def invalid_values(lines: DataFrame) -> DataFrame:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spliceframe.functions import alternates as alt
 from spliceframe.operators import annotation as an
+from spliceframe.operators import cliques as cl
 from spliceframe.operators import export as ex
 from spliceframe.operators import graph as gr
 from spliceframe.operators import inference as inf
 from spliceframe.operators import intervals as iv
+from spliceframe.operators import mates as mt
 from spliceframe.operators import reads as rd
 from spliceframe.session import staged
 from spliceframe.sources import bridge
 from spliceframe.sources.tables import table
+from spliceframe.streaming import junction_stream as js
 
 MIN_COV = 30
 TILE = 500
@@ -228,6 +232,51 @@ def infer_gibbs(spark: SparkSession, folder: str) -> DataFrame:
     return _inferred(spark, folder, "gibbs", 20)
 
 
+def fragment_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    return mt.fragment_lengths(bridge.mate_pairs(spark, folder))
+
+
+def fragment_summary(spark: SparkSession, folder: str) -> DataFrame:
+    s = mt.fragment_summary(fragment_lengths(spark, folder))
+    return s.select("count", (F.floor(F.col("mean") * 1000 + 0.5) / 1000).alias("mean"), "mode", "mode_count")
+
+
+def pair_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Coverage with the bases that both mates of a proper pair cover counted once."""
+    return iv.depth_runs(mt.coverage_events(bridge.mate_pairs(spark, folder)), ["chrom"], "start", "end", 1000, F.col("weight"))
+
+
+def pair_auc(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_coverage(spark, folder).groupBy("chrom").agg(F.sum(F.col("depth") * (F.col("end") - F.col("start"))).alias("auc"))
+
+
+def read_alternates(spark: SparkSession, folder: str) -> DataFrame:
+    p, c, s = F.col("pos"), F.col("cigar"), F.col("seq")
+    every = F.concat(alt.md_mismatches(p, c, F.col("md"), s), alt.cigar_alternates(p, c, s, soft_clips=True))
+    rows = bridge.altered(spark, folder).select("qname", F.explode(every).alias("x")).select("qname", F.col("x.pos").alias("pos0"), "x.op", "x.payload")
+    return rows.groupBy("pos0", "op", "payload").agg(F.count(F.lit(1)).alias("n"))
+
+
+def path_cliques(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact clique numbers of the conflict graphs of junctions and of paths that two reads or more show."""
+    chains = rd.read_chains(bridge.reads(spark, folder), ["bam_file", "chrom"])
+    return cl.path_cliques(cl.path_nodes(chains, "bam_file", 2), "bam_file")
+
+
+def cluster_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the genes' matrices and ln(samples) x (nodes + clusters) of the information criterion."""
+    m = document_matrix(spark, folder).groupBy("gene_id").agg(F.count_distinct("sample_id").alias("samples"), F.sum("count").alias("reads"))
+    j = m.join(gene_min_k(spark, folder), "gene_id")
+    return j.select("gene_id", "samples", "reads", "nodes", "clique_number", (F.floor((F.col("nodes") + F.col("clique_number")) * F.log(F.col("samples").cast("double")) * 1000 + 0.5) / 1000).alias("penalty"))
+
+
+def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly rows and scores by sample as a stream over gene_junc gives them, whole (complete mode)."""
+    rows = js.stream_of(spark, f"{folder}/gene_junc.parquet").where("loaded_at IS NOT NULL")
+    done = js.totals_of(js.windowed_counts(rows, ["sample_id"], "loaded_at", "1 hour", "30 days"))
+    return done.select("sample_id", F.unix_seconds("window_start").alias("window_start"), "n_rows", "score")
+
+
 def queries() -> dict:
-    own = (gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi, infer_svi, infer_gibbs)
+    own = (fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi, infer_svi, infer_gibbs)
     return {f.__name__: f for f in own}

@@ -28,6 +28,17 @@ _WITH["ev"] = "SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, s AS pos, 1 AS
 _WITH["run"] = """SELECT * FROM (SELECT chrom, CAST(pos AS INT) AS start, CAST(lead(pos) OVER w AS INT) AS "end", CAST(sum(d) OVER w AS BIGINT) AS depth FROM ev WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE "end" IS NOT NULL"""
 _WITH["xi"] = """SELECT * FROM (SELECT gene_id, transcript_id, chrom, e_end + 1 AS jx_start, lead(e_start) OVER (PARTITION BY gene_id, transcript_id ORDER BY e_start, e_end) - 1 AS jx_end FROM x) WHERE jx_end >= jx_start"""
 
+_WITH["pr"] = bridge.PAIRS
+_WITH["h"] = "SELECT *, CAST(substr(qname, 2) AS BIGINT) AS e, flag & 128 = 128 AS second FROM pr"
+#: aligned blocks of the mates, 0-based and half-open, without parsing CIGARs
+_WITH["mb"] = """SELECT e, rname, flag & 2 = 2 AS proper, CAST(pos - 1 AS BIGINT) AS s, pos - 1 + 20 + e % 30 AS t FROM h WHERE NOT second UNION ALL SELECT e, rname, flag & 2 = 2, pos - 1, pos - 1 + 25 + e % 9 FROM h WHERE second AND e % 4 <> 0
+  UNION ALL SELECT e, rname, flag & 2 = 2, pos - 1, pos + 14 FROM h WHERE second AND e % 4 = 0 UNION ALL SELECT e, rname, flag & 2 = 2, pos + 44, pos + 44 + 10 + e % 9 FROM h WHERE second AND e % 4 = 0"""
+_WITH["pb"] = "SELECT rname AS chrom, b, count(*) FILTER (NOT proper) + count(DISTINCT e) FILTER (proper) AS depth FROM (SELECT e, rname, proper, unnest(range(s, t)) AS b FROM mb) GROUP BY 1, 2"
+_WITH["fl"] = "SELECT CAST(tlen - CASE WHEN e % 4 = 0 THEN 30 ELSE 0 END AS INT) AS length, count(*) AS n FROM h WHERE NOT second AND e % 11 <> 0 GROUP BY 1"
+_WITH["al"] = bridge.ALTERED
+_WITH["ax"] = "SELECT *, CAST(substr(qname, 2) AS BIGINT) AS e FROM al"
+_WITH["ay"] = "SELECT *, pos - 1 AS p, 10 + e % 5 AS a, 12 + e % 7 AS b, 8 + e % 4 AS c, e % 15 AS x FROM ax"
+
 
 def _sql(names: str, query: str) -> str:
     """The query with the named views (and none else) as CTEs, in order."""
@@ -43,6 +54,18 @@ _PCT = "floor({} * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "fragment_lengths": _sql("pr h fl", "SELECT * FROM fl"),
+        "fragment_summary": _sql("pr h fl", "SELECT CAST(sum(n) AS BIGINT) AS count, floor(sum(length * n)::DOUBLE / sum(n)::DOUBLE * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS mean, first(length ORDER BY n DESC, length) AS mode, max(n) AS mode_count FROM fl"),
+        "pair_coverage": _sql("pr h mb pb", """, pe AS (SELECT chrom, b AS pos, depth AS d FROM pb UNION ALL SELECT chrom, b + 1, -depth FROM pb), ps AS (SELECT chrom, pos, sum(d) AS d FROM pe GROUP BY 1, 2 HAVING sum(d) <> 0)
+SELECT * FROM (SELECT chrom, CAST(pos AS INT) AS start, CAST(lead(pos) OVER w AS INT) AS "end", CAST(sum(d) OVER w AS BIGINT) AS depth FROM ps WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE "end" IS NOT NULL"""),
+        "pair_auc": _sql("pr h mb pb", "SELECT chrom, CAST(sum(depth) AS BIGINT) AS auc FROM pb GROUP BY 1"),
+        "read_alternates": _sql("al ax ay", """, r AS (SELECT p + x AS pos0, 'X' AS op, CASE WHEN x < a THEN substr(seq, x + 1, 1) ELSE substr(seq, x + 3, 1) END AS payload FROM ay UNION ALL SELECT p + a, 'I', substr(seq, a + 1, 2) FROM ay
+  UNION ALL SELECT p + a + b, 'D', '3' FROM ay UNION ALL SELECT p + a + b + 3 + c, 'S', substr(seq, a + b + c + 3, 4) FROM ay)
+SELECT CAST(pos0 AS INT) AS pos0, op, payload, count(*) AS n FROM r WHERE NOT (op = 'X' AND payload = 'N') GROUP BY ALL"""),
+        "cluster_scores": _sql(_N + "depth m", """, k AS (SELECT gene_id, count(*) AS nodes, CAST(coalesce(max(d), 1) AS BIGINT) AS clique_number FROM node LEFT JOIN depth USING (gene_id) GROUP BY 1)
+SELECT gene_id, count(DISTINCT sample_id) AS samples, CAST(sum(count) AS BIGINT) AS reads, any_value(nodes) AS nodes, any_value(clique_number) AS clique_number,
+  floor((any_value(nodes) + any_value(clique_number)) * ln(count(DISTINCT sample_id)::DOUBLE) * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS penalty FROM m JOIN k USING (gene_id) GROUP BY 1"""),
+        "stream_hourly": "SELECT sample_id, CAST(epoch(date_trunc('hour', loaded_at)) AS BIGINT) AS window_start, count(*) AS n_rows, CAST(coalesce(sum(score), 0) AS BIGINT) AS score FROM gene_junc WHERE loaded_at IS NOT NULL GROUP BY ALL",
         "gene_min_k": _sql(_N + "depth", "SELECT gene_id, count(*) AS nodes, CAST(coalesce(max(d), 1) AS BIGINT) AS clique_number FROM node LEFT JOIN depth USING (gene_id) GROUP BY 1"),
         "junction_totals": _sql("j tot", "SELECT * FROM tot"),
         "junction_sample_counts": _sql("j", "SELECT sample_id, chrom, jx_start, jx_end, strand, CAST(coalesce(sum(score), 0) AS BIGINT) AS score FROM j GROUP BY ALL"),

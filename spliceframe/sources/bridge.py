@@ -38,6 +38,19 @@ EXONS = """SELECT 'G' || CAST(l_suppkey % 20 AS VARCHAR(20)) AS gene_id, 'T' ||
   CAST(l_linenumber * 1000 + l_partkey % 50 AS INT) AS e_start, CAST(l_linenumber * 1000 + l_partkey % 50 + CAST(l_quantity AS INT) * 25 AS INT) AS e_end, '+' AS strand
   FROM lineitem"""
 
+#: (qname, flag, rname, pos, tlen, cigar): two mates per event; some not proper, some on one strand, some spliced
+PAIRS = """SELECT 'p' || CAST(event_id AS VARCHAR(20)) AS qname, CAST(1 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE 2 END + CASE WHEN m = 0 THEN 64 ELSE 128 END + CASE WHEN m = 1 AND event_id % 11 <> 0 THEN 16 ELSE 0 END AS INT) AS flag,
+  CASE WHEN user_id % 3 = 0 THEN 'A' WHEN user_id % 3 = 1 THEN 'N' ELSE 'R' END AS rname, CAST(1 + (user_id % 100) * 20 + m * (event_id % 40) AS INT) AS pos,
+  CAST((1 - 2 * m) * (event_id % 40 + 25 + event_id % 9 + CASE WHEN event_id % 4 = 0 THEN 30 ELSE 0 END) AS INT) AS tlen,
+  CASE WHEN m = 0 THEN CAST(20 + event_id % 30 AS VARCHAR(20)) || 'M' WHEN event_id % 4 = 0 THEN '15M30N' || CAST(10 + event_id % 9 AS VARCHAR(20)) || 'M' ELSE CAST(25 + event_id % 9 AS VARCHAR(20)) || 'M' END AS cigar
+  FROM (SELECT event_id, user_id, 0 AS m FROM events UNION ALL SELECT event_id, user_id, 1 FROM events) AS e"""
+
+#: (qname, rname, pos, cigar, md, seq): one mismatch, insertion, deletion and soft clip per read
+ALTERED = """SELECT 'a' || CAST(event_id AS VARCHAR(20)) AS qname, 'A' AS rname, CAST(1 + user_id % 1000 AS INT) AS pos,
+  CAST(10 + event_id % 5 AS VARCHAR(20)) || 'M2I' || CAST(12 + event_id % 7 AS VARCHAR(20)) || 'M3D' || CAST(8 + event_id % 4 AS VARCHAR(20)) || 'M4S' AS cigar,
+  CAST(event_id % 15 AS VARCHAR(20)) || 'A' || CAST(21 + event_id % 5 + event_id % 7 - event_id % 15 AS VARCHAR(20)) || '^GGG' || CAST(8 + event_id % 4 AS VARCHAR(20)) AS md,
+  substr('ACGTTGCAACNGTACCATGACGTTGCAACGGTACCATGACGTTGCAACTTTTGGGG', 1, CAST(36 + event_id % 5 + event_id % 7 + event_id % 4 AS INT)) AS seq FROM events"""
+
 
 def _view(spark: SparkSession, folder: str, sql: str, name: str) -> DataFrame:
     return spark.sql(sql.replace(f"FROM {name}", "FROM {source}"), source=table(spark, folder, name))
@@ -61,3 +74,11 @@ def alignments(spark: SparkSession, folder: str) -> DataFrame:
 
 def exons(spark: SparkSession, folder: str) -> DataFrame:
     return _view(spark, folder, EXONS, "lineitem")
+
+
+def mate_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _view(spark, folder, PAIRS, "events")
+
+
+def altered(spark: SparkSession, folder: str) -> DataFrame:
+    return _view(spark, folder, ALTERED, "events")
