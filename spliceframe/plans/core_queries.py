@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from spliceframe.operators.compaction import compact, duplicated
 from spliceframe.operators.keyed_totals import frequent_keys, gene_key, keyed_totals
 from spliceframe.operators.parse_errors import split_valid
 from spliceframe.plans import junction_queries
-from spliceframe.session import shared_folder, staged
+from spliceframe.session import new_path, staged
 from spliceframe.sources.tables import table
 
 #: Bytes of rows as text per compacted file; Parquet takes about a quarter.
@@ -57,8 +55,7 @@ def p3_valid_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _compacted(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/spliceframe/compacted-{uuid.uuid4().hex}"
-    done = compact(table(spark, folder, "junc_parts"), path, ["sample_id", "rec_no"], "written_at", COMPACT_BYTES)
+    done = compact(table(spark, folder, "junc_parts"), new_path(spark, "compacted"), ["sample_id", "rec_no"], "written_at", COMPACT_BYTES)
     return spark.read.parquet(done.path)
 
 

@@ -35,9 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder, under the application's name."""
+    return f"{shared_folder(spark)}/spliceframe-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; results that still read them must have been written before."""
+    delete_path(spark, new_path(spark, "").rsplit("/", 1)[0])
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/spliceframe/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spliceframe.session import shared_folder
+from spliceframe.session import new_path
 
 
 def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -28,7 +26,7 @@ def windowed_counts(rows: DataFrame, keys: list[str], time: str, window: str, la
 def once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, writes Parquet and gives the written table; restarts go on from the checkpoint."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/spliceframe/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -37,7 +35,7 @@ def once(stream: DataFrame, mode: str = "append") -> DataFrame:
 def totals_of(stream: DataFrame) -> DataFrame:
     """Runs an aggregating stream over all that is there and gives its final table (each batch replaces the table as a whole)."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/spliceframe/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")
