@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +101,78 @@ def top_mass(weights: DataFrame, keys: list[str], ident: str, weight: str, share
     total = F.sum(weight).over(Window.partitionBy(*keys))
     marked = weights.where(F.col(weight) > 0).withColumn("_before", before).withColumn("_total", total)
     return marked.where(F.col("_before") < F.col("_total") * share).drop("_before", "_total")
+
+
+def reference_edges(members: DataFrame, group: str) -> DataFrame:
+    """(group, u, v), u < v: junctions of a group that have reference transcripts but none in common; members are (group, transcript, node).
+
+    As many as such pairs exist; a group is a gene, so its pairs are bounded by its junctions.
+    """
+    known = members.select(group, "node").distinct()
+    one = known.select(group, F.col("node").alias("u"))
+    two = known.select(group, F.col("node").alias("v"))
+    sets = members.distinct().groupBy(group, "transcript").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    pairs = F.flatten(F.transform("nodes", lambda a, i: F.transform(F.slice("nodes", i + 2, F.size("nodes")), lambda b: F.struct(a.alias("u"), b.alias("v")))))
+    shared = sets.select(group, F.explode(pairs).alias("p")).select(group, "p.u", "p.v").distinct()
+    return one.join(two, group).where(F.col("u") < F.col("v")).join(shared, [group, "u", "v"], "left_anti")
+
+
+def active_edges(overlaps: DataFrame, reference: DataFrame, supported: DataFrame, group: str, variant: str) -> DataFrame:
+    """(group, u, v) of a graph variant: ``current`` the overlaps; ``hybrid`` also the reference edges; ``reference`` both, between supported nodes (group, node) only."""
+    if variant == "current":
+        return overlaps.select(group, "u", "v")
+    both = overlaps.select(group, "u", "v").unionByName(reference.select(group, "u", "v")).distinct()
+    if variant == "hybrid":
+        return both
+    if variant != "reference":
+        raise ValueError(variant)
+    for end in "uv":
+        both = both.join(supported.select(group, F.col("node").alias(end)).distinct(), [group, end], "left_semi")
+    return both.select(group, "u", "v")
+
+
+def cluster_numbers(cliques: DataFrame, most: int = 9) -> DataFrame:
+    """(gene_id, clusters): numbers of clusters to try, every other one from the clique number on."""
+    return cliques.select("gene_id", F.explode(F.sequence(F.col("clique_number"), F.col("clique_number") + 2 * (most - 1), F.lit(2).cast("long"))).alias("clusters"))
+
+
+def _per_gene(rows: DataFrame, schema: str, solve) -> DataFrame:
+    """Applies ``solve(gene, table) -> columns`` to the rows of each gene (bounded by its nodes or samples)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.table(solve(key[0].as_py(), pa.Table.from_batches(list(batches))))
+        yield from out.select(names).to_batches()
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return rows.groupBy("gene_id").applyInArrow(run, schema)
+
+
+def node_cover(lower: DataFrame, i: int = 2) -> DataFrame:
+    """(gene_id, node_id) of a generalised node cover, of nodes with their lowest neighbour (:func:`lower_neighbours`): nodes are taken in order; each adds one to
+    the counters from its ``lo`` to itself, and is chosen, and takes its counts back, if a counter reaches ``i``."""
+
+    def solve(gene: str, t: pa.Table) -> dict:
+        t = t.sort_by("node_id")
+        chosen, count = [], np.zeros(t.num_rows, np.int64)
+        for node, lo in zip(t["node_id"].to_pylist(), t["lo"].to_pylist()):
+            count[lo : node + 1] += 1
+            if (count[lo : node + 1] == i).any():
+                chosen.append(node)
+                count[lo : node + 1] -= 1
+        return {"gene_id": pa.array([gene] * len(chosen), pa.string()), "node_id": pa.array(chosen, pa.int32())}
+
+    return _per_gene(lower.select("gene_id", "node_id", "lo"), "gene_id string, node_id int", solve)
+
+
+def sample_split(matrix: DataFrame, percent: int = 95, seed: int = 2021) -> DataFrame:
+    """(gene_id, sample_id, training): the samples of a gene, in order, permuted with the seed; the first ``percent`` train."""
+
+    def solve(gene: str, t: pa.Table) -> dict:
+        samples = sorted(set(t["sample_id"].to_pylist()))
+        order = np.random.RandomState(seed).permutation(len(samples))
+        training = np.zeros(len(samples), bool)
+        training[order[: percent * len(samples) // 100]] = True
+        return {"gene_id": pa.array([gene] * len(samples), pa.string()), "sample_id": pa.array(samples, pa.string()), "training": pa.array(training)}
+
+    return _per_gene(matrix.select("gene_id", "sample_id").where(F.col("sample_id").isNotNull()).distinct(), "gene_id string, sample_id string, training boolean", solve)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from spliceframe.functions.special import digamma, gammaln
 
 EPS = 1e-10
+BY_SAMPLE = "gene_id string, sample_id string, k int, node_id int, member boolean, expected_count double"
 RESULT = "gene_id string, k int, node_id int, member boolean, share double, expected_count double, iterations int, elbo double"
 
 
@@ -38,6 +39,21 @@ def heaviest_sets(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return mask
 
 
+def initial_sets(starts: np.ndarray, ends: np.ndarray, k: int, rng: np.random.Generator, anchors: int = 3) -> np.ndarray:
+    """k independent sets as masks: a largest one, then for each other one a largest one that holds up to ``anchors`` random nodes of the first."""
+    first = heaviest_sets(np.ones((1, len(starts))), starts, ends)[0]
+    inside = np.flatnonzero(first)
+    weights = rng.random((k, len(starts))) * 0.5 + 0.75
+    for row in weights[1:]:
+        chosen = rng.choice(inside, min(len(inside), int(rng.integers(1, anchors + 1))), replace=False)
+        barred = ((ends[None] > starts[chosen][:, None]) & (starts[None] < ends[chosen][:, None])).any(0)
+        row[barred] = -1
+        row[chosen] = 1
+    out = heaviest_sets(weights, starts, ends)
+    out[0] = first
+    return out
+
+
 class Mixture:
     """State of one gene. Counts are sparse: entry i is ``count[i]`` reads of sample ``d[i]`` at node ``v[i]``, sorted by sample; phi is entries x k."""
 
@@ -48,7 +64,7 @@ class Mixture:
         self.rng = np.random.default_rng(seed)
         self.phi = self.rng.dirichlet(np.ones(k), size=len(d))
         self.fit = 0.0
-        self.b = heaviest_sets(self.rng.random((k, self.nodes)), starts, ends).astype(float)
+        self.b = initial_sets(starts, ends, k, self.rng).astype(float)
         self.logits = np.zeros((k, self.nodes))
         self.zeta = self.rng.gamma(1.0, 1.0, (k, self.nodes)) + self.b
         self.gamma = self.alpha + self.per(self.d, self.samples)
@@ -139,7 +155,7 @@ class Mixture:
         return iterations
 
 
-def _fit(method: str, iterations: int, seed: int):
+def _fit(method: str, iterations: int, seed: int, by_sample: bool = False):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sample_id", "node_id"])  # the result must not depend on the order of arrival
         gene = pdf["gene_id"].iloc[0]
@@ -151,6 +167,9 @@ def _fit(method: str, iterations: int, seed: int):
         k = int(pdf["clique_number"].iloc[0])
         m = Mixture(d[order], v[order], pdf["count"].to_numpy()[order], nodes["jx_start"].to_numpy(), nodes["jx_end"].to_numpy(), k, zlib.crc32(f"{seed}/{gene}".encode()))
         done = getattr(m, method)(iterations)
+        if by_sample:
+            i, k_ = np.nonzero(m.phi > EPS)
+            return pd.DataFrame({"gene_id": gene, "sample_id": samples[m.d[i]], "k": k_, "node_id": nodes["node_id"].to_numpy()[m.v[i]], "member": m.b[k_, m.v[i]] > 0.5, "expected_count": m.count[i] * m.phi[i, k_]})
         share = m.zeta / m.zeta.sum(1, keepdims=True)
         expected = m.per(m.v, m.nodes).T
         kk, vv = np.meshgrid(np.arange(k), nodes["node_id"].to_numpy(), indexing="ij")
@@ -159,13 +178,26 @@ def _fit(method: str, iterations: int, seed: int):
     return fit
 
 
-def inferred(matrix: DataFrame, nodes: DataFrame, cliques: DataFrame, method: str = "cavi", iterations: int = 30, seed: int = 2021) -> DataFrame:
+def inferred(matrix: DataFrame, nodes: DataFrame, cliques: DataFrame, method: str = "cavi", iterations: int = 30, seed: int = 2021, by_sample: bool = False) -> DataFrame:
     """A row per gene, cluster and node (see RESULT) for the genes with a conflict (clique number 2 or more) and counts; as many clusters as the clique number.
 
     member: the node is in the cluster's transcript, whose nodes never conflict. The seed and the gene fix the result. Rows with a null sample are left out.
+    by_sample: the expected reads of each sample, cluster and node with counts in its place (see BY_SAMPLE).
     """
     genes = cliques.where(F.col("clique_number") >= 2).select("gene_id", "clique_number")
     rows = matrix.where(F.col("sample_id").isNotNull()).join(nodes.select("gene_id", "node_id", "jx_start", "jx_end"), ["gene_id", "node_id"]).join(genes, "gene_id")
     # spread by a set number: the rows are few, so they would be coalesced, but the work on each gene is long
     rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "gene_id")
-    return rows.groupBy("gene_id").applyInPandas(_fit(method, iterations, seed), RESULT)
+    return rows.groupBy("gene_id").applyInPandas(_fit(method, iterations, seed, by_sample), BY_SAMPLE if by_sample else RESULT)
+
+
+def sample_counts(by_sample: DataFrame) -> DataFrame:
+    """(gene_id, k, sample_id, member_count, all_count): expected reads of each transcript and sample, at its members and at all nodes."""
+    members = F.sum(F.when(F.col("member"), F.col("expected_count")).otherwise(0))
+    return by_sample.groupBy("gene_id", "k", "sample_id").agg(members.alias("member_count"), F.sum("expected_count").alias("all_count"))
+
+
+def merged_clusters(result: DataFrame) -> DataFrame:
+    """(gene_id, members, clusters, expected_count): clusters of a gene with the same members as one, their expected counts summed."""
+    sets = result.groupBy("gene_id", "k").agg(F.sort_array(F.collect_set(F.when(F.col("member"), F.col("node_id")))).alias("members"), F.sum("expected_count").alias("c"))
+    return sets.groupBy("gene_id", "members").agg(F.count(F.lit(1)).alias("clusters"), F.sum("c").alias("expected_count"))

@@ -49,3 +49,15 @@ def coverage_events(df: DataFrame) -> DataFrame:
     shared = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: (y["s"] <= x["e"]) & (x["s"] <= y["e"])), lambda y: F.struct(F.greatest(x["s"], y["s"]).alias("s"), F.least(x["e"], y["e"]).alias("e")))))
     minus = p.select(F.col("rname").alias("chrom"), F.explode(shared).alias("x")).select("chrom", (F.col("x.s") - 1).alias("start"), F.col("x.e").alias("end"), F.lit(-1).alias("weight"))
     return plus.unionByName(minus)
+
+
+def paired_chains(df: DataFrame) -> DataFrame:
+    """(qname, rname, first, second): the junctions of both mates (``start-end,start-end``) of pairs of which a mate has two or both have one; else
+    a mate's list is empty if it has less than two and the other none. Pairs whose first tlen is 0 are left out."""
+    text = lambda x: F.array_join(F.transform(x, lambda i: F.concat_ws("-", i["s"], i["e"])), ",")
+    p = pairs(df).where(F.col("first.tlen") != 0)
+    p = p.select("qname", "rname", cg.introns(F.col("first.pos"), F.col("first.cigar")).alias("a"), cg.introns(F.col("second.pos"), F.col("second.cigar")).alias("b"))
+    n, m = F.size("a"), F.size("b")
+    both = (n >= 1) & (m >= 1)
+    rows = p.where(both | (n >= 2) | (m >= 2))
+    return rows.select("qname", "rname", F.when(both | (n >= 2), text(F.col("a"))).otherwise("").alias("first"), F.when(both | (m >= 2), text(F.col("b"))).otherwise("").alias("second"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spliceframe.functions import alternates as alt
+from spliceframe.functions import labels as lb
 from spliceframe.operators import annotation as an
 from spliceframe.operators import cliques as cl
 from spliceframe.operators import export as ex
@@ -14,6 +15,7 @@ from spliceframe.operators import inference as inf
 from spliceframe.operators import intervals as iv
 from spliceframe.operators import mates as mt
 from spliceframe.operators import reads as rd
+from spliceframe.operators import results as rs
 from spliceframe.session import staged
 from spliceframe.sources import bridge
 from spliceframe.sources.tables import table
@@ -214,10 +216,10 @@ def transcript_exons(spark: SparkSession, folder: str) -> DataFrame:
     return ex.transcript_exons(members)
 
 
-def _inferred(spark: SparkSession, folder: str, method: str, iterations: int) -> DataFrame:
+def _inferred(spark: SparkSession, folder: str, method: str, iterations: int, by_sample: bool = False) -> DataFrame:
     nodes = staged(_nodes(spark, folder), "nodes")
     matrix = gr.document_matrix(bridge.junctions(spark, folder), nodes)
-    return inf.inferred(matrix, nodes, gr.clique_numbers(nodes), method, iterations)
+    return inf.inferred(matrix, nodes, gr.clique_numbers(nodes), method, iterations, by_sample=by_sample)
 
 
 def infer_cavi(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,6 +279,72 @@ def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("sample_id", F.unix_seconds("window_start").alias("window_start"), "n_rows", "score")
 
 
+def paired_chains(spark: SparkSession, folder: str) -> DataFrame:
+    return mt.paired_chains(bridge.mate_pairs(spark, folder))
+
+
+def reference_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Junctions of a file's reads that no read chain of two or more holds together, though each is in one."""
+    chains = rd.read_chains(bridge.reads(spark, folder), ["bam_file", "chrom"]).where(F.col("n_junctions") >= 2)
+    members = chains.select(F.concat_ws(":", "bam_file", "chrom").alias("file"), F.col("chain").alias("transcript"), "j").distinct()
+    return gr.reference_edges(members.select("file", "transcript", F.explode("j").alias("x")).select("file", "transcript", F.concat_ws("-", "x.jx_start", "x.jx_end").alias("node")), "file")
+
+
+def cluster_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return gr.cluster_numbers(gene_min_k(spark, folder))
+
+
+def node_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return gr.node_cover(lower_neighbour(spark, folder))
+
+
+def sample_split(spark: SparkSession, folder: str) -> DataFrame:
+    return gr.sample_split(document_matrix(spark, folder))
+
+
+def expected_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return inf.sample_counts(_inferred(spark, folder, "cavi", 20, by_sample=True))
+
+
+def cluster_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return inf.merged_clusters(infer_cavi(spark, folder))
+
+
+def unconflicted_exons(spark: SparkSession, folder: str) -> DataFrame:
+    """Exons of the one transcript of every gene whose junctions don't conflict."""
+    nodes = staged(_nodes(spark, folder), "nodes")
+    return ex.transcript_exons(rs.unconflicted_members(nodes, gr.clique_numbers(nodes)))
+
+
+def inferred_exons(spark: SparkSession, folder: str) -> DataFrame:
+    """Exons of the transcripts of the fitted genes, as GTF lines."""
+    nodes = staged(_nodes(spark, folder), "nodes")
+    result = inf.inferred(gr.document_matrix(bridge.junctions(spark, folder), nodes), nodes, gr.clique_numbers(nodes), "cavi", 20)
+    return ex.gtf_lines(ex.transcript_exons(rs.transcript_members(result, nodes)))
+
+
+def node_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of the distinct junctions, written and parsed again."""
+    rows = bridge.junctions(spark, folder).select("chrom", "jx_start", "jx_end").distinct()
+    label = lb.node_label(F.col("chrom"), F.col("jx_start"), F.col("jx_end"))
+    return rows.select(label.alias("label"), lb.parsed_label(label).alias("x")).select("label", "x.chrom", "x.jx_start", "x.jx_end")
+
+
+def zero_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Tiles of 1 Mb of every chromosome of the genes under the junctions of reads, with zeros."""
+    contigs = bridge.genes(spark, folder).groupBy(F.col("chrom").alias("name")).agg(F.max("g_end").alias("length"))
+    runs = iv.depth_runs(bridge.reads(spark, folder), ["chrom"], "jx_start", "jx_end")
+    tiles = rs.with_zero_tiles(iv.tiled(runs, ["chrom"], 1_000_000), contigs, 1_000_000)
+    return tiles.select("chrom", "tile", "bases", (F.floor(F.col("mean") * 1000 + 0.5) / 1000).alias("mean"))
+
+
+def listed_genes(spark: SparkSession, folder: str) -> DataFrame:
+    """Junction rows of the genes that gene_interval names, by gene."""
+    names = table(spark, folder, "gene_interval").select(F.upper("gene_name"))
+    rows = rs.restricted(bridge.junctions(spark, folder), names, "gene")
+    return rows.groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict:
-    own = (fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi, infer_svi, infer_gibbs)
+    own = (unconflicted_exons, inferred_exons, node_labels, zero_tiles, listed_genes, paired_chains, reference_edges, cluster_numbers, node_cover, sample_split, expected_counts, cluster_merge, fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi, infer_svi, infer_gibbs)
     return {f.__name__: f for f in own}

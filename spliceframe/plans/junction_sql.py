@@ -31,10 +31,11 @@ _WITH["xi"] = """SELECT * FROM (SELECT gene_id, transcript_id, chrom, e_end + 1
 _WITH["pr"] = bridge.PAIRS
 _WITH["h"] = "SELECT *, CAST(substr(qname, 2) AS BIGINT) AS e, flag & 128 = 128 AS second FROM pr"
 #: aligned blocks of the mates, 0-based and half-open, without parsing CIGARs
-_WITH["mb"] = """SELECT e, rname, flag & 2 = 2 AS proper, CAST(pos - 1 AS BIGINT) AS s, pos - 1 + 20 + e % 30 AS t FROM h WHERE NOT second UNION ALL SELECT e, rname, flag & 2 = 2, pos - 1, pos - 1 + 25 + e % 9 FROM h WHERE second AND e % 4 <> 0
+_WITH["mb"] = """SELECT e, rname, flag & 2 = 2 AS proper, CAST(pos - 1 AS BIGINT) AS s, pos - 1 + 20 + e % 30 AS t FROM h WHERE NOT second AND e % 12 <> 0 UNION ALL SELECT e, rname, flag & 2 = 2, pos - 1, pos + 9 FROM h WHERE NOT second AND e % 12 = 0
+  UNION ALL SELECT e, rname, flag & 2 = 2, pos + 29, pos + 29 + 10 + e % 30 FROM h WHERE NOT second AND e % 12 = 0 UNION ALL SELECT e, rname, flag & 2 = 2, pos - 1, pos - 1 + 25 + e % 9 FROM h WHERE second AND e % 4 <> 0
   UNION ALL SELECT e, rname, flag & 2 = 2, pos - 1, pos + 14 FROM h WHERE second AND e % 4 = 0 UNION ALL SELECT e, rname, flag & 2 = 2, pos + 44, pos + 44 + 10 + e % 9 FROM h WHERE second AND e % 4 = 0"""
 _WITH["pb"] = "SELECT rname AS chrom, b, count(*) FILTER (NOT proper) + count(DISTINCT e) FILTER (proper) AS depth FROM (SELECT e, rname, proper, unnest(range(s, t)) AS b FROM mb) GROUP BY 1, 2"
-_WITH["fl"] = "SELECT CAST(tlen - CASE WHEN e % 4 = 0 THEN 30 ELSE 0 END AS INT) AS length, count(*) AS n FROM h WHERE NOT second AND e % 11 <> 0 GROUP BY 1"
+_WITH["fl"] = "SELECT CAST(tlen - CASE WHEN e % 4 = 0 THEN 30 ELSE 0 END - CASE WHEN e % 12 = 0 THEN 20 ELSE 0 END AS INT) AS length, count(*) AS n FROM h WHERE NOT second AND e % 11 <> 0 GROUP BY 1"
 _WITH["al"] = bridge.ALTERED
 _WITH["ax"] = "SELECT *, CAST(substr(qname, 2) AS BIGINT) AS e FROM al"
 _WITH["ay"] = "SELECT *, pos - 1 AS p, 10 + e % 5 AS a, 12 + e % 7 AS b, 8 + e % 4 AS c, e % 15 AS x FROM ax"
@@ -54,6 +55,22 @@ _PCT = "floor({} * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "unconflicted_exons": _sql(_N + "depth", """, one AS (SELECT gene_id FROM node LEFT JOIN depth USING (gene_id) GROUP BY 1 HAVING coalesce(max(d), 1) = 1),
+i AS (SELECT DISTINCT gene_id || '_C0' AS transcript_id, chrom, jx_start AS s, jx_end AS e FROM node SEMI JOIN one USING (gene_id)),
+o AS (SELECT *, lag(e) OVER w AS pe, lead(s) OVER w AS ns, row_number() OVER w AS no FROM i WINDOW w AS (PARTITION BY transcript_id ORDER BY s, e)),
+ok AS (SELECT transcript_id FROM o GROUP BY 1 HAVING bool_and(e >= s AND (pe IS NULL OR s - pe > 1) AND (pe IS NOT NULL OR s > 1)) AND count(DISTINCT chrom) = 1)
+SELECT transcript_id, CAST(no AS INT) AS exon_no, chrom, coalesce(pe + 1, s - 1) AS e_start, s - 1 AS e_end FROM o SEMI JOIN ok USING (transcript_id)
+UNION ALL SELECT transcript_id, CAST(no + 1 AS INT), chrom, e + 1, e + 1 FROM o SEMI JOIN ok USING (transcript_id) WHERE ns IS NULL"""),
+        "node_labels": _sql("j", "SELECT DISTINCT chrom || ':' || jx_start || '-' || jx_end AS label, chrom, jx_start, jx_end FROM j"),
+        "zero_tiles": _sql("g r", """, c AS (SELECT chrom, max(g_end) AS n FROM g GROUP BY 1), t AS (SELECT chrom, n, unnest(range(0, (n - 1) // 1000000 + 1)) AS tile FROM c),
+p AS (SELECT chrom, k AS tile, sum(least(jx_end, (k + 1) * 1000000) - greatest(jx_start, k * 1000000)) AS b FROM (SELECT *, unnest(range(jx_start // 1000000, (jx_end - 1) // 1000000 + 1)) AS k FROM r WHERE jx_end > jx_start) GROUP BY 1, 2)
+SELECT t.chrom, CAST(t.tile AS INT) AS tile, CAST(coalesce(b, 0) AS BIGINT) AS bases, floor(coalesce(b, 0)::DOUBLE / least(1000000, n - t.tile * 1000000)::DOUBLE * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS mean FROM t LEFT JOIN p ON p.chrom = t.chrom AND p.tile = t.tile"""),
+        "listed_genes": _sql("j", "SELECT gene, count(*) AS n FROM j SEMI JOIN (SELECT DISTINCT trim(upper(gene_name)) AS gene FROM gene_interval WHERE trim(upper(gene_name)) <> '') x USING (gene) GROUP BY 1"),
+        "paired_chains": _sql("pr h", "SELECT a.qname, a.rname, (a.pos + 10) || '-' || (a.pos + 29) AS first, (b.pos + 15) || '-' || (b.pos + 44) AS second FROM h a JOIN h b ON a.qname = b.qname AND NOT a.second AND b.second WHERE a.e % 12 = 0"),
+        "reference_edges": _sql(_R, """, m AS (SELECT DISTINCT bam_file || ':' || chrom AS file, chain, jx_start || '-' || jx_end AS node FROM once JOIN chain USING (bam_file, chrom, read) WHERE n_junctions >= 2),
+n AS (SELECT DISTINCT file, node FROM m)
+SELECT a.file, a.node AS u, b.node AS v FROM n a JOIN n b ON a.file = b.file AND a.node < b.node ANTI JOIN (SELECT DISTINCT x.file, x.node AS u, y.node AS v FROM m x JOIN m y ON x.file = y.file AND x.chain = y.chain) s ON s.file = a.file AND s.u = a.node AND s.v = b.node"""),
+        "cluster_numbers": _sql(_N + "depth", "SELECT gene_id, unnest(range(k, k + 17, 2)) AS clusters FROM (SELECT gene_id, CAST(coalesce(max(d), 1) AS BIGINT) AS k FROM node LEFT JOIN depth USING (gene_id) GROUP BY 1)"),
         "fragment_lengths": _sql("pr h fl", "SELECT * FROM fl"),
         "fragment_summary": _sql("pr h fl", "SELECT CAST(sum(n) AS BIGINT) AS count, floor(sum(length * n)::DOUBLE / sum(n)::DOUBLE * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS mean, first(length ORDER BY n DESC, length) AS mode, max(n) AS mode_count FROM fl"),
         "pair_coverage": _sql("pr h mb pb", """, pe AS (SELECT chrom, b AS pos, depth AS d FROM pb UNION ALL SELECT chrom, b + 1, -depth FROM pb), ps AS (SELECT chrom, pos, sum(d) AS d FROM pe GROUP BY 1, 2 HAVING sum(d) <> 0)

@@ -42,7 +42,7 @@ EXONS = """SELECT 'G' || CAST(l_suppkey % 20 AS VARCHAR(20)) AS gene_id, 'T' ||
 PAIRS = """SELECT 'p' || CAST(event_id AS VARCHAR(20)) AS qname, CAST(1 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE 2 END + CASE WHEN m = 0 THEN 64 ELSE 128 END + CASE WHEN m = 1 AND event_id % 11 <> 0 THEN 16 ELSE 0 END AS INT) AS flag,
   CASE WHEN user_id % 3 = 0 THEN 'A' WHEN user_id % 3 = 1 THEN 'N' ELSE 'R' END AS rname, CAST(1 + (user_id % 100) * 20 + m * (event_id % 40) AS INT) AS pos,
   CAST((1 - 2 * m) * (event_id % 40 + 25 + event_id % 9 + CASE WHEN event_id % 4 = 0 THEN 30 ELSE 0 END) AS INT) AS tlen,
-  CASE WHEN m = 0 THEN CAST(20 + event_id % 30 AS VARCHAR(20)) || 'M' WHEN event_id % 4 = 0 THEN '15M30N' || CAST(10 + event_id % 9 AS VARCHAR(20)) || 'M' ELSE CAST(25 + event_id % 9 AS VARCHAR(20)) || 'M' END AS cigar
+  CASE WHEN m = 0 AND event_id % 12 = 0 THEN '10M20N' || CAST(10 + event_id % 30 AS VARCHAR(20)) || 'M' WHEN m = 0 THEN CAST(20 + event_id % 30 AS VARCHAR(20)) || 'M' WHEN event_id % 4 = 0 THEN '15M30N' || CAST(10 + event_id % 9 AS VARCHAR(20)) || 'M' ELSE CAST(25 + event_id % 9 AS VARCHAR(20)) || 'M' END AS cigar
   FROM (SELECT event_id, user_id, 0 AS m FROM events UNION ALL SELECT event_id, user_id, 1 FROM events) AS e"""
 
 #: (qname, rname, pos, cigar, md, seq): one mismatch, insertion, deletion and soft clip per read

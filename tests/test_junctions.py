@@ -5,12 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from spliceframe.functions import cigar as cg
+from spliceframe.functions import labels as lb
 from spliceframe.functions.special import digamma, gammaln
 from spliceframe.operators import annotation as an
 from spliceframe.operators import export as ex
 from spliceframe.operators import graph as gr
 from spliceframe.operators import inference as inf
 from spliceframe.operators import reads as rd
+from spliceframe.operators import results as rs
 
 
 def _list(df, column):
@@ -128,3 +130,61 @@ def test_two_transcripts_come_apart(spark, method):
         assert all(a[1] <= b[0] or b[1] <= a[0] for i, a in enumerate(members) for b in members[i + 1 :])
     top = {k: {r["node_id"] for r in rows if r["k"] == k and r["share"] > 0.2} for k in (0, 1)}
     assert method != "cavi" or sorted(map(sorted, top.values())) == [[0, 1], [2, 3]]
+
+
+def test_covers_splits_and_variants(spark):
+    lower = spark.createDataFrame([("g", 0, 0), ("g", 1, 0), ("g", 2, 1), ("g", 3, 1)], "gene_id string, node_id int, lo int")
+    assert sorted(r["node_id"] for r in gr.node_cover(lower).collect()) == [1, 3]
+    matrix = spark.createDataFrame([("g", f"s{i:02d}") for i in range(20)] * 2 + [("g", None), ("h", "x")], "gene_id string, sample_id string")
+    split = gr.sample_split(matrix).collect()
+    assert len(split) == 21 and sum(not r["training"] for r in split if r["gene_id"] == "g") == 1
+    members = spark.createDataFrame([("g", "T1", "a"), ("g", "T1", "b"), ("g", "T2", "b"), ("g", "T2", "c"), ("g", "T3", "d"), ("h", "T1", "a"), ("h", "T2", "c")], "gene_id string, transcript string, node string")
+    reference = gr.reference_edges(members, "gene_id")
+    assert sorted(tuple(r) for r in reference.collect()) == [("g", "a", "c"), ("g", "a", "d"), ("g", "b", "d"), ("g", "c", "d"), ("h", "a", "c")]
+    overlaps = spark.createDataFrame([("g", "a", "b"), ("g", "a", "x")], "gene_id string, u string, v string")
+    count = {v: gr.active_edges(overlaps, reference, members, "gene_id", v).count() for v in ("current", "hybrid", "reference")}
+    assert count == {"current": 2, "hybrid": 7, "reference": 6}
+    cliques = spark.createDataFrame([("g", 3)], "gene_id string, clique_number long")
+    assert [r["clusters"] for r in gr.cluster_numbers(cliques).orderBy("clusters").collect()] == list(range(3, 20, 2))
+
+
+def test_clusters_merge_and_count(spark):
+    rows = [("g", 0, 1, True, 2.0), ("g", 0, 2, False, 1.0), ("g", 1, 1, True, 4.0), ("g", 2, 1, False, 8.0)]
+    df = spark.createDataFrame(rows, "gene_id string, k int, node_id int, member boolean, expected_count double")
+    assert sorted((r["members"], r["clusters"], r["expected_count"]) for r in inf.merged_clusters(df).collect()) == [([], 1, 8.0), ([1], 2, 7.0)]
+    got = inf.sample_counts(df.withColumn("sample_id", F.lit("s"))).orderBy("k").collect()
+    assert [(r["member_count"], r["all_count"]) for r in got] == [(2.0, 3.0), (4.0, 4.0), (0.0, 8.0)]
+
+
+def test_initial_sets():
+    rng = np.random.default_rng(3)
+    s = rng.integers(0, 60, 25)
+    e = s + rng.integers(1, 15, 25)
+    masks = inf.initial_sets(s, e, 6, rng)
+    for mask in masks:
+        at = np.flatnonzero(mask)
+        assert len(at) and all(e[i] <= s[j] or e[j] <= s[i] for i in at for j in at if i < j)
+    assert masks[0].sum() == max(m.sum() for m in masks)
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("1:5-9",), ("5-9",), ("a:b:5-9",), ("x",), ("1:5-",), (None,)], "t string").coalesce(1)
+    got = [r[0] and tuple(r[0]) for r in df.select(lb.parsed_label(F.col("t"))).collect()]
+    assert got == [("1", 5, 9), (None, 5, 9), ("a:b", 5, 9), None, None, None]
+
+
+def test_results(spark):
+    nodes = spark.createDataFrame([("g", 0, "A", 5, 9), ("g", 1, "A", 20, 30)], "gene_id string, node_id int, chrom string, jx_start int, jx_end int")
+    result = spark.createDataFrame([("g", 0, 0, True, 0.5), ("g", 1, 0, False, 0.1), ("g", 0, 1, True, 0.5)], "gene_id string, k int, node_id int, member boolean, share double")
+    assert sorted(tuple(r) for r in rs.wide_shares(result, 2).collect()) == [("g", 0, 0.5, 0.1), ("g", 1, 0.5, None)]
+    assert sorted(tuple(r) for r in rs.transcript_members(result, nodes).collect()) == [("g_C0", "A", 5, 9), ("g_C0", "A", 20, 30)]
+    by = spark.createDataFrame([("g", "s", 1, 0, True, 3.0)], "gene_id string, sample_id string, k int, node_id int, member boolean, expected_count double")
+    assert [tuple(r) for r in rs.result_rows(by, nodes).collect()] == [("g", "g.t1", 1, 0, 5, 9, "s", 3.0)]
+    a = spark.createDataFrame([("g ",), ("h",), ("g",)], "x string")
+    b = spark.createDataFrame([("h",), ("i",)], "y string")
+    rows = spark.createDataFrame([("g",), ("h",), ("i",), ("j",)], "gene string")
+    assert {r[0] for r in rs.restricted(rows, a, "gene", b).collect()} == {"g", "h", "i"}
+    assert {r[0] for r in rs.restricted(rows, a, "gene", b, every=True).collect()} == {"h"}
+    tiles = spark.createDataFrame([("A", 1, 6)], "chrom string, tile int, bases long")
+    contigs = spark.createDataFrame([("A", 13), ("B", 3)], "name string, length int")
+    assert sorted(tuple(r) for r in rs.with_zero_tiles(tiles, contigs, 10).collect()) == [("A", 0, 0, 0.0), ("A", 1, 6, 2.0), ("B", 0, 0, 0.0)]
