@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEPS = 200_000
+STEPS = 1_000_000
 
 
 def conflicts(segments: list[np.ndarray]) -> list[int]:
@@ -28,37 +28,44 @@ def conflicts(segments: list[np.ndarray]) -> list[int]:
     return out
 
 
+def _coloured(candidates: int, neighbours: list[int]) -> tuple[list[int], list[int]]:
+    """The candidates by colour of a greedy colouring, and the colours, which bound a clique among a candidate and those before it."""
+    order, colours, colour = [], [], 0
+    while candidates:
+        colour += 1
+        free = candidates
+        while free:
+            low = free & -free
+            v = low.bit_length() - 1
+            order.append(v)
+            colours.append(colour)
+            candidates ^= low
+            free = (free ^ low) & ~neighbours[v]
+    return order, colours
+
+
 def largest_clique(neighbours: list[int], steps: int = STEPS) -> tuple[int, bool]:
-    """(size, exact) of a largest clique: branch and bound, with the number of colours of a greedy colouring as the bound. After ``steps``
-    branches the best so far is given as not exact."""
+    """(size, exact) of a largest clique: branch and bound with the colours of a greedy colouring. After ``steps`` coloured nodes the best so far
+    is given as not exact."""
+    everyone = (1 << len(neighbours)) - 1
     best, left = 0, steps
-
-    def expand(candidates: int, size: int) -> None:
-        nonlocal best, left
-        order, bound, colour, rest = [], [], 0, candidates
-        while rest:
-            colour += 1
-            free = rest
-            while free:
-                low = free & -free
-                v = low.bit_length() - 1
-                order.append(v)
-                bound.append(colour)
-                rest ^= low
-                free = (free ^ low) & ~neighbours[v]
-        for v, most in zip(reversed(order), reversed(bound)):
-            if size + most <= best or left <= 0:
-                return
-            left -= 1
-            inner = candidates & neighbours[v]
-            if inner:
-                expand(inner, size + 1)
-            elif size + 1 > best:
-                best = size + 1
-            candidates &= ~(1 << v)
-
-    expand((1 << len(neighbours)) - 1, 0)
-    return best, left > 0
+    stack = [[*_coloured(everyone, neighbours), everyone, 0]]
+    while stack:
+        order, colours, candidates, size = stack[-1]
+        if not order or size + colours[-1] <= best:
+            stack.pop()
+            continue
+        if left <= 0:
+            return best, False
+        v = order.pop()
+        colours.pop()
+        stack[-1][2] = candidates & ~(1 << v)
+        best = max(best, size + 1)
+        inner = candidates & neighbours[v]
+        if inner:
+            stack.append([*_coloured(inner, neighbours), inner, size + 1])
+            left -= len(stack[-1][0])
+    return best, True
 
 
 def path_cliques(nodes: DataFrame, group: str) -> DataFrame:

@@ -27,6 +27,7 @@ def test_budget():
     assert cl.largest_clique([], 10) == (0, True)
     size, exact = cl.largest_clique(cl.conflicts([np.array([[i, i + 40]]) for i in range(60)]), 5)
     assert size <= 40 and not exact
+    assert cl.largest_clique(cl.conflicts([np.array([[0, 9]])] * 700)) == (700, True)
 
 
 def test_path_nodes_conflict_with_their_junctions(spark):
