@@ -1,6 +1,6 @@
 """Evaluation texts that leaked into a corpus, found with an FM-index per shard of the corpus.
 
-Documents are read in shards of at most about ``SHARD_WORDS`` words (a longer document is a shard of its own). A task indexes one shard
+Documents are read in shards of at most ``SHARD_WORDS`` words (a longer document is cut into overlapping shards of its own). A task indexes one shard
 at a time, backward-searches all phrases of the items in it (every run of ``WORDS`` words; the whole of a shorter item), locates the occurrences,
 and merges overlapping ones into spans. Nothing of the corpus is shuffled but the hits.
 """
@@ -118,14 +118,29 @@ def _spans(docs: DataFrame, phrases: _Phrases) -> DataFrame:
         words: list[list[str]] = []
         size = 0
 
+        def batch_of(of: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(item, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "item_id", "first_word", "last_word"])
+
         def shard() -> pa.RecordBatch:
             doc, item, first, last = _merged(*_hits(phrases, words))
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc], pa.int64()), pa.array(item, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["doc_id", "item_id", "first_word", "last_word"])
+            return batch_of(np.array(ids, np.int64)[doc], item, first, last)
+
+        def long_document(i: int, own: list[str]) -> pa.RecordBatch:
+            """Shards of one document overlap by a phrase less a word, so that each place of a phrase lies whole in one."""
+            found = []
+            for at in range(0, len(own), SHARD_WORDS):
+                doc, item, first, last = _hits(phrases, [own[at : at + SHARD_WORDS + WORDS - 1]])
+                found.append((doc, item, first + at, last + at))
+            doc, item, first, last = _merged(*(np.concatenate(x) for x in zip(*found)))
+            return batch_of(np.full(len(doc), i), item, first, last)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 for i, w in zip(part.column(0).to_pylist(), words_of(part.column(1).to_pylist())):
+                    if len(w) > SHARD_WORDS:
+                        yield long_document(i, w)
+                        continue
                     if words and size + len(w) > SHARD_WORDS:
                         yield shard()
                         ids, words, size = [], [], 0

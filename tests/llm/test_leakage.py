@@ -49,7 +49,9 @@ def test_equals_brute_force(spark, monkeypatch, shard, rows):
     assert {tuple(x) for x in lk.leaked(d, i).collect()} == want and want
 
 
-def test_spans_merge(spark):
+@pytest.mark.parametrize("shard", [7, 20, 250_000])
+def test_spans_merge(spark, monkeypatch, shard):
+    monkeypatch.setattr(lk, "SHARD_WORDS", shard)
     text = " ".join(f"w{k}" for k in range(40))
     d = spark.createDataFrame([(1, "x y " + text + " z"), (2, text + " q " + text)], "doc_id long, text string")
     i = spark.createDataFrame([(7, text), (8, "y w0")], "item_id long, item_text string")
