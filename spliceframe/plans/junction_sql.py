@@ -43,7 +43,7 @@ _WITH["ay"] = "SELECT *, pos - 1 AS p, 10 + e % 5 AS a, 12 + e % 7 AS b, 8 + e %
 
 def _sql(names: str, query: str) -> str:
     """The query with the named views (and none else) as CTEs, in order."""
-    return "WITH " + ",\n".join(f"{n} AS ({_WITH[n]})" for n in names.split()) + "\n" + query
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_WITH[n]})" for n in names.split()) + "\n" + query
 
 
 _N = "j g tot node "
@@ -55,6 +55,10 @@ _PCT = "floor({} * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "mis_greedy": _sql(_N, """, s AS (SELECT DISTINCT gene_id, chrom, jx_start, jx_end FROM node WHERE jx_end > jx_start),
+walk AS (SELECT gene_id, chrom, min(jx_end) AS at, 1 AS n FROM s GROUP BY 1, 2
+  UNION ALL SELECT s.gene_id, s.chrom, min(s.jx_end), any_value(n) + 1 FROM walk JOIN s ON s.gene_id = walk.gene_id AND s.chrom = walk.chrom AND s.jx_start >= walk.at GROUP BY 1, 2)
+SELECT gene_id, CAST(sum(n) AS BIGINT) AS independent_nodes FROM (SELECT gene_id, chrom, max(n) AS n FROM walk GROUP BY 1, 2) GROUP BY 1"""),
         "unconflicted_exons": _sql(_N + "depth", """, one AS (SELECT gene_id FROM node LEFT JOIN depth USING (gene_id) GROUP BY 1 HAVING coalesce(max(d), 1) = 1),
 i AS (SELECT DISTINCT gene_id || '_C0' AS transcript_id, chrom, jx_start AS s, jx_end AS e FROM node SEMI JOIN one USING (gene_id)),
 o AS (SELECT *, lag(e) OVER w AS pe, lead(s) OVER w AS ns, row_number() OVER w AS no FROM i WINDOW w AS (PARTITION BY transcript_id ORDER BY s, e)),

@@ -43,3 +43,9 @@ def write_runs(runs: DataFrame, path: str) -> None:
 def write_summary(df: DataFrame, path: str) -> None:
     """A manifest: one JSON line per row."""
     df.write.mode("overwrite").json(path)
+
+
+def write_region_sums(sums: DataFrame, regions: DataFrame, path: str, coordinates: bool = True) -> None:
+    """Sums (chrom, start, end, value) of regions in the order of their file (``ord`` of readers.bed), 0 for regions without any; with or without coordinates."""
+    j = regions.join(sums, ["chrom", "start", "end"], "left").orderBy("ord").withColumn("value", F.coalesce("value", F.lit(0)))
+    j.select(*(["chrom", "start", "end"] if coordinates else []), "value").write.mode("overwrite").option("sep", "\t").csv(path)

@@ -65,3 +65,13 @@ def test_stream_equals_batch(spark):
     got = {tuple(r) for r in stream.collect()}
     newest = max(r[1] for r in want)
     assert got and got <= want and all(r[1] == newest for r in want - got)
+
+
+def test_sums_keep_the_order_of_the_regions(spark, tmp_path):
+    regions = readers.bed(spark, _write(tmp_path / "a.bed", "2\t5\t9\n1\t1\t4\n2\t0\t3\n"))
+    sums = spark.createDataFrame([("1", 1, 4, 7), ("2", 5, 9, 3)], "chrom string, start int, end int, value long")
+    writers.write_region_sums(sums, regions, f"{tmp_path}/sums")
+    parts = sorted((tmp_path / "sums").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == "2\t5\t9\t3\n1\t1\t4\t7\n2\t0\t3\t0\n"
+    writers.write_region_sums(sums, regions, f"{tmp_path}/sums", coordinates=False)
+    assert "".join(p.read_text() for p in sorted((tmp_path / "sums").glob("part-*"))) == "3\n7\n0\n"
