@@ -33,7 +33,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - width] = rank[width:] + 1
         key = rank * (int(second.max(initial=0)) + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order is of no matter
         ordered = key[order]
         fresh = np.empty(n, np.int64)
         fresh[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
