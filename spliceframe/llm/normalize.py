@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,15 +46,28 @@ def _ignorable() -> str:
 
 
 _IGNORABLE = re.compile(_ignorable())
-_ALIKE = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
+# the look-alikes by code point, over the blocks that hold them
+_FROM, _TO = 0x370, 0x530
+_ALIKE = np.arange(_FROM, _TO, dtype=np.uint32)
+for _letter, _latin in zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS):
+    _ALIKE[ord(_letter) - _FROM] = ord(_latin)
 _SPACE = re.compile(r"\s+")
 
 
+def _to_latin(text: str) -> str:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    at = np.flatnonzero((codes >= _FROM) & (codes < _TO))
+    if not len(at):
+        return text
+    codes[at] = _ALIKE[codes[at] - _FROM]
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def consistent(text: str) -> str:
     """The consistent form of one string, or of several joined by NUL; white space at the ends stays as one space."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _IGNORABLE.sub("", text))
-        text = unicodedata.normalize("NFC", text.translate(_ALIKE))
+        text = unicodedata.normalize("NFC", _to_latin(text))
     return _SPACE.sub(" ", text)
 
 
