@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from spliceframe.functions.special import digamma, gammaln
 
 EPS = 1e-10
+SWEEPS = 10_000
 BY_SAMPLE = "gene_id string, sample_id string, k int, node_id int, member boolean, expected_count double"
-RESULT = "gene_id string, k int, node_id int, member boolean, share double, expected_count double, iterations int, elbo double"
+RESULT = "gene_id string, k int, node_id int, member boolean, share double, expected_count double, iterations int, converged boolean, elbo double"
 
 
 def heaviest_sets(weights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -116,29 +117,49 @@ class Mixture:
         p = np.clip(self.b, EPS, 1 - EPS)
         return float(self.fit + theta + beta - (p * np.log(p) + (1 - p) * np.log(1 - p)).sum())
 
-    def cavi(self, iterations: int, tolerance: float = 2e-5) -> int:
+    def settle(self, rows: np.ndarray | slice = slice(None), most: int = 50, tolerance: float = 1e-4) -> None:
+        """Local steps until the fit moves by less than ``tolerance`` a sample."""
+        last, samples = -np.inf, len(np.unique(self.d[rows]))
+        for _ in range(most):
+            self.local_step(rows)
+            if abs(self.fit - last) < tolerance * samples:
+                return
+            last = self.fit
+
+    def cavi(self, iterations: int, tolerance: float = 2e-5) -> tuple[int, bool]:
+        """Sweeps until the bound moves by less than ``tolerance``: (sweeps, whether it did)."""
         last = -np.inf
         for i in range(iterations):
             self.local_step()
             now = self.elbo()
             self.global_step()
             if abs(now - last) < tolerance:
-                return i + 1
+                return i + 1, True
             last = now
-        return iterations
+        return iterations, False
 
-    def svi(self, iterations: int, kappa: float = 0.7, delay: float = 10.0) -> int:
+    def svi(self, iterations: int, kappa: float = 0.7, delay: float = 10.0, every: int = 10, window: int = 5, tolerance: float = 2e-6, patience: int = 3) -> tuple[int, bool]:
+        """Batches until the bound, taken every ``every`` batches, moves by less than ``tolerance`` of itself on average over ``window`` of them, ``patience`` times in a row."""
+        bounds: list[float] = []
+        calm = 0
         for i in range(iterations):
             batch = self.rng.choice(self.samples, max(1, self.samples // 10), replace=False)
             rows = np.flatnonzero(np.isin(self.d, batch))
             if len(rows):
-                for _ in range(3):
-                    self.local_step(rows)
+                self.settle(rows)
                 self.global_step(rows, (delay + i) ** -kappa * 2)
-        self.local_step()
-        return iterations
-
-    def gibbs(self, iterations: int) -> int:
+            if i % every == 0 or i == iterations - 1:
+                self.settle()
+                bounds = [*bounds, self.elbo()][-window:]
+                if len(bounds) == window:
+                    moved = np.abs(np.diff(bounds)).mean() / (np.abs(bounds).mean() + EPS)
+                    calm = calm + 1 if moved < tolerance else 0
+                    if calm >= patience:
+                        return i + 1, True
+        return iterations, False
+
+    def gibbs(self, iterations: int) -> tuple[int, None]:
+        """``iterations`` draws, the first half burn-in; whether they have settled isn't measured."""
         kept, sum_ = 0, np.zeros_like(self.phi)
         for i in range(iterations):
             theta = np.vstack([self.rng.dirichlet(g) for g in self.gamma])
@@ -152,7 +173,7 @@ class Mixture:
                 sum_ += self.phi
                 kept += 1
         self.phi = sum_ / max(kept, 1)
-        return iterations
+        return iterations, None
 
 
 def _fit(method: str, iterations: int, seed: int, by_sample: bool = False):
@@ -166,22 +187,23 @@ def _fit(method: str, iterations: int, seed: int, by_sample: bool = False):
         v = np.searchsorted(nodes["node_id"].to_numpy(), pdf["node_id"])
         k = int(pdf["clique_number"].iloc[0])
         m = Mixture(d[order], v[order], pdf["count"].to_numpy()[order], nodes["jx_start"].to_numpy(), nodes["jx_end"].to_numpy(), k, zlib.crc32(f"{seed}/{gene}".encode()))
-        done = getattr(m, method)(iterations)
+        done, converged = getattr(m, method)(iterations)
         if by_sample:
             i, k_ = np.nonzero(m.phi > EPS)
             return pd.DataFrame({"gene_id": gene, "sample_id": samples[m.d[i]], "k": k_, "node_id": nodes["node_id"].to_numpy()[m.v[i]], "member": m.b[k_, m.v[i]] > 0.5, "expected_count": m.count[i] * m.phi[i, k_]})
         share = m.zeta / m.zeta.sum(1, keepdims=True)
         expected = m.per(m.v, m.nodes).T
         kk, vv = np.meshgrid(np.arange(k), nodes["node_id"].to_numpy(), indexing="ij")
-        return pd.DataFrame({"gene_id": gene, "k": kk.ravel(), "node_id": vv.ravel(), "member": (m.b > 0.5).ravel(), "share": share.ravel(), "expected_count": expected.ravel(), "iterations": done, "elbo": m.elbo()})
+        return pd.DataFrame({"gene_id": gene, "k": kk.ravel(), "node_id": vv.ravel(), "member": (m.b > 0.5).ravel(), "share": share.ravel(), "expected_count": expected.ravel(), "iterations": done, "converged": converged, "elbo": m.elbo()})
 
     return fit
 
 
-def inferred(matrix: DataFrame, nodes: DataFrame, cliques: DataFrame, method: str = "cavi", iterations: int = 30, seed: int = 2021, by_sample: bool = False) -> DataFrame:
+def inferred(matrix: DataFrame, nodes: DataFrame, cliques: DataFrame, method: str = "cavi", iterations: int = SWEEPS, seed: int = 2021, by_sample: bool = False) -> DataFrame:
     """A row per gene, cluster and node (see RESULT) for the genes with a conflict (clique number 2 or more) and counts; as many clusters as the clique number.
 
     member: the node is in the cluster's transcript, whose nodes never conflict. The seed and the gene fix the result. Rows with a null sample are left out.
+    ``iterations`` is a bound: converged says whether the method's own stop came before it (null for gibbs, which has none).
     by_sample: the expected reads of each sample, cluster and node with counts in its place (see BY_SAMPLE).
     """
     genes = cliques.where(F.col("clique_number") >= 2).select("gene_id", "clique_number")

@@ -216,22 +216,22 @@ def transcript_exons(spark: SparkSession, folder: str) -> DataFrame:
     return ex.transcript_exons(members)
 
 
-def _inferred(spark: SparkSession, folder: str, method: str, iterations: int, by_sample: bool = False) -> DataFrame:
+def _inferred(spark: SparkSession, folder: str, method: str, by_sample: bool = False) -> DataFrame:
     nodes = staged(_nodes(spark, folder), "nodes")
     matrix = gr.document_matrix(bridge.junctions(spark, folder), nodes)
-    return inf.inferred(matrix, nodes, gr.clique_numbers(nodes), method, iterations, by_sample=by_sample)
+    return inf.inferred(matrix, nodes, gr.clique_numbers(nodes), method, by_sample=by_sample)
 
 
 def infer_cavi(spark: SparkSession, folder: str) -> DataFrame:
-    return _inferred(spark, folder, "cavi", 20)
+    return _inferred(spark, folder, "cavi")
 
 
 def infer_svi(spark: SparkSession, folder: str) -> DataFrame:
-    return _inferred(spark, folder, "svi", 20)
+    return _inferred(spark, folder, "svi")
 
 
 def infer_gibbs(spark: SparkSession, folder: str) -> DataFrame:
-    return _inferred(spark, folder, "gibbs", 20)
+    return _inferred(spark, folder, "gibbs")
 
 
 def fragment_lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -303,7 +303,7 @@ def sample_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def expected_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return inf.sample_counts(_inferred(spark, folder, "cavi", 20, by_sample=True))
+    return inf.sample_counts(_inferred(spark, folder, "cavi", by_sample=True))
 
 
 def cluster_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -319,7 +319,7 @@ def unconflicted_exons(spark: SparkSession, folder: str) -> DataFrame:
 def inferred_exons(spark: SparkSession, folder: str) -> DataFrame:
     """Exons of the transcripts of the fitted genes, as GTF lines."""
     nodes = staged(_nodes(spark, folder), "nodes")
-    result = inf.inferred(gr.document_matrix(bridge.junctions(spark, folder), nodes), nodes, gr.clique_numbers(nodes), "cavi", 20)
+    result = inf.inferred(gr.document_matrix(bridge.junctions(spark, folder), nodes), nodes, gr.clique_numbers(nodes), "cavi")
     return ex.gtf_lines(ex.transcript_exons(rs.transcript_members(result, nodes)))
 
 

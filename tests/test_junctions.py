@@ -13,6 +13,7 @@ from spliceframe.operators import graph as gr
 from spliceframe.operators import inference as inf
 from spliceframe.operators import reads as rd
 from spliceframe.operators import results as rs
+from spliceframe.plans import junction_queries as jq
 
 
 def _list(df, column):
@@ -132,6 +133,24 @@ def test_two_transcripts_come_apart(spark, method):
     assert method != "cavi" or sorted(map(sorted, top.values())) == [[0, 1], [2, 3]]
 
 
+def _mixture():
+    d, v = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(4), indexing="ij"))
+    return inf.Mixture(d, v, np.where((v < 2) == (d % 2 == 0), 60, 2), np.array([1, 20, 5, 25]), np.array([10, 30, 15, 40]), 2, 7)
+
+
+def test_fits_say_whether_they_settled():
+    assert _mixture().cavi(3) == (3, False) and _mixture().svi(3) == (3, False)
+    for method in ("cavi", "svi"):
+        done, converged = getattr(_mixture(), method)(inf.SWEEPS)
+        assert converged and 20 < done < inf.SWEEPS
+    assert _mixture().gibbs(6) == (6, None)
+
+
+def test_queries_fit_to_the_tolerance(spark):
+    rows = jq.infer_cavi(spark, "/root/testdata/sf0.001").select("gene_id", "iterations", "converged").distinct().collect()
+    assert rows and all(r["converged"] or r["iterations"] == inf.SWEEPS for r in rows) and any(r["converged"] and r["iterations"] > 20 for r in rows)
+
+
 def test_covers_splits_and_variants(spark):
     lower = spark.createDataFrame([("g", 0, 0), ("g", 1, 0), ("g", 2, 1), ("g", 3, 1)], "gene_id string, node_id int, lo int")
     assert sorted(r["node_id"] for r in gr.node_cover(lower).collect()) == [1, 3]
