@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceframe.session import staged
+
 STEPS = 1_000_000
 
 
@@ -44,19 +46,33 @@ def _coloured(candidates: int, neighbours: list[int]) -> tuple[list[int], list[i
     return order, colours
 
 
-def largest_clique(neighbours: list[int], steps: int = STEPS) -> tuple[int, bool]:
-    """(size, exact) of a largest clique: branch and bound with the colours of a greedy colouring. After ``steps`` coloured nodes the best so far
-    is given as not exact."""
-    everyone = (1 << len(neighbours)) - 1
-    best, left = 0, steps
-    stack = [[*_coloured(everyone, neighbours), everyone, 0]]
-    while stack:
+def deepest(segments: list[np.ndarray]) -> int:
+    """The most nodes over one base; they all conflict."""
+    events = []
+    for own in segments:
+        end = None
+        for a, b in sorted((int(a), int(b)) for a, b in own if b > a):
+            if end is None or a > end:
+                if end is not None:
+                    events.append((end, -1))
+                events.append((a, 1))
+                end = b
+            end = max(end, b)
+        if end is not None:
+            events.append((end, -1))
+    return int(np.cumsum([0, *(x for _, x in sorted(events))]).max())
+
+
+def _search(candidates: int, size: int, neighbours: list[int], best: int, steps: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """(best, steps left, open branches): the cliques of ``candidates`` beside ``size`` nodes that all neighbour them, if larger than ``best``, by branch and
+    bound with the colours of a greedy colouring. After ``steps`` coloured nodes what isn't searched is given as branches (candidates, size)."""
+    left = steps
+    stack = [[*_coloured(candidates, neighbours), candidates, size]]
+    while stack and left > 0:
         order, colours, candidates, size = stack[-1]
         if not order or size + colours[-1] <= best:
             stack.pop()
             continue
-        if left <= 0:
-            return best, False
         v = order.pop()
         colours.pop()
         stack[-1][2] = candidates & ~(1 << v)
@@ -65,13 +81,66 @@ def largest_clique(neighbours: list[int], steps: int = STEPS) -> tuple[int, bool
         if inner:
             stack.append([*_coloured(inner, neighbours), inner, size + 1])
             left -= len(stack[-1][0])
-    return best, True
+    return best, left, [(candidates, size) for order, colours, candidates, size in stack if order and size + colours[-1] > best]
+
+
+def _unbounded(branches: list[tuple[int, int]], best: int) -> list[tuple[int, int]]:
+    return [(c, size) for c, size in branches if c.bit_count() + size > best]
+
+
+def largest_clique(neighbours: list[int], steps: int = STEPS) -> tuple[int, bool]:
+    """(size, exact) of a largest clique; after ``steps`` coloured nodes the best so far is given as not exact unless nothing is open."""
+    best, _, branches = _search((1 << len(neighbours)) - 1, 0, neighbours, 0, steps)
+    return best, not branches
+
+
+def components(neighbours: list[int]) -> list[int]:
+    """Connected components as bit sets, largest first."""
+    out, rest = [], (1 << len(neighbours)) - 1
+    while rest:
+        found = front = rest & -rest
+        while front:
+            low = front & -front
+            new = neighbours[low.bit_length() - 1] & ~found
+            found |= new
+            front = (front ^ low) | new
+        out.append(found)
+        rest &= ~found
+    return sorted(out, key=int.bit_count, reverse=True)
+
+
+def _induced(neighbours: list[int], part: int) -> list[int]:
+    """The graph of the nodes of ``part``, numbered anew."""
+    own = [v for v in range(len(neighbours)) if part >> v & 1]
+    at = {v: i for i, v in enumerate(own)}
+    out = []
+    for v in own:
+        bits, rest = 0, neighbours[v]
+        while rest:
+            low = rest & -rest
+            bits |= 1 << at[low.bit_length() - 1]
+            rest ^= low
+        out.append(bits)
+    return out
+
 
+def _bytes(bits: int) -> bytes:
+    return bits.to_bytes((bits.bit_length() + 7) // 8, "little")
 
-def path_cliques(nodes: DataFrame, group: str) -> DataFrame:
+
+_BRANCHES = pa.list_(pa.struct([("candidates", pa.binary()), ("size", pa.int32())]))
+_OPEN = pa.list_(pa.struct([("graph", pa.list_(pa.binary())), ("branches", _BRANCHES)]))
+
+
+def _rows(branches: list[tuple[int, int]]) -> list[dict]:
+    return [{"candidates": _bytes(c), "size": n} for c, n in branches]
+
+
+def path_cliques(nodes: DataFrame, group: str, steps: int = STEPS) -> DataFrame:
     """(group, nodes, edges, clique_number, exact) of nodes (group, chrom, segments array<struct<jx_start, jx_end>>); nodes of different chromosomes never conflict.
 
-    A group's nodes, the junctions and paths of one gene's reads, are handled by one task.
+    A group's conflict graph is built by one task and searched there, by connected component, for ``steps`` coloured nodes; what is open then is searched
+    by tasks of their own, in rounds, until nothing is. exact is always true.
     """
 
     def solve(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,19 +148,67 @@ def path_cliques(nodes: DataFrame, group: str) -> DataFrame:
         for batch in batches:
             for chrom, segments in zip(batch.column("chrom").to_pylist(), batch.column("segments").to_pylist()):
                 by.setdefault(chrom, []).append(np.array([(x["jx_start"], x["jx_end"]) for x in segments], np.int64).reshape(-1, 2))
-        best, edges, exact = 1, 0, True
+        best, edges, left = 1, 0, []
         for segments in by.values():
+            best = max(best, deepest(segments))
             graph = conflicts(sorted(segments, key=lambda x: x.tolist()))
             edges += sum(g.bit_count() for g in graph) // 2
-            size, sure = largest_clique(graph)
-            best, exact = max(best, size), exact and sure
+            for part in components(graph):
+                if part.bit_count() > best:
+                    own = _induced(graph, part)
+                    best, _, branches = _search((1 << len(own)) - 1, 0, own, best, steps)
+                    left.append((own, branches))
+        left = [(own, kept) for own, branches in left if (kept := _unbounded(branches, best))]
         n = sum(map(len, by.values()))
-        yield pa.RecordBatch.from_pydict({"g": pa.array([key[0].as_py()], pa.string()), "nodes": pa.array([n], pa.int64()), "edges": pa.array([edges], pa.int64()), "clique_number": pa.array([best], pa.int64()), "exact": pa.array([exact], pa.bool_())})
+        still = [{"graph": [_bytes(x) for x in own], "branches": _rows(branches)} for own, branches in left]
+        yield pa.RecordBatch.from_pydict({"g": pa.array([key[0].as_py()], pa.string()), "nodes": pa.array([n], pa.int64()), "edges": pa.array([edges], pa.int64()), "clique_number": pa.array([best], pa.int64()), "open": pa.array([still], _OPEN)})
 
     solve.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    rows = nodes.select(F.col(group).alias("g"), "chrom", "segments").repartition(4 * nodes.sparkSession.sparkContext.defaultParallelism, "g")
-    out = rows.groupBy("g").applyInArrow(solve, "g string, nodes long, edges long, clique_number long, exact boolean")
-    return out.withColumnRenamed("g", group)
+    tasks = 4 * nodes.sparkSession.sparkContext.defaultParallelism
+    rows = nodes.select(F.col(group).alias("g"), "chrom", "segments").repartition(tasks, "g")
+    out = staged(rows.groupBy("g").applyInArrow(solve, "g string, nodes long, edges long, clique_number long, open array<struct<graph:array<binary>,branches:array<struct<candidates:binary,size:int>>>>"), "cliques")
+    graphs = out.select("g", "clique_number", F.posexplode("open").alias("part", "x"))
+    branches = graphs.select("g", "part", "clique_number", F.explode("x.branches").alias("b"))
+    found = out.select("g", "clique_number")
+    if not branches.isEmpty():
+        graphs = staged(graphs.select("g", "part", "x.graph"), "graphs")
+        found = _finished(graphs, branches, found, tasks, steps)
+    best = found.groupBy(F.col("g").alias("_g")).agg(F.max("clique_number").alias("clique_number"))
+    done = out.drop("open", "clique_number").join(best, F.col("g").eqNullSafe(F.col("_g")))
+    return done.select(F.col("g").alias(group), "nodes", "edges", "clique_number", F.lit(True).alias("exact"))
+
+
+def _finished(graphs: DataFrame, branches: DataFrame, found: DataFrame, tasks: int, steps: int) -> DataFrame:
+    """``found`` (g, clique_number) with the sizes that the open branches (g, part, clique_number: best so far, b) of the graphs (g, part, graph) lead to.
+
+    In a round the branches of a graph are dealt to ``tasks`` bundles, each of which is searched for ``steps`` coloured nodes.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                graph = [int.from_bytes(x, "little") for x in row["graph"]]
+                best, left, still = row["clique_number"], steps, []
+                for b in row["of"]:
+                    c, size = int.from_bytes(b["candidates"], "little"), b["size"]
+                    if left > 0:
+                        best, left, more = _search(c, size, graph, best, left)
+                        still += more
+                    else:
+                        still.append((c, size))
+                still = _unbounded(still, best)
+                yield pa.RecordBatch.from_pydict({"g": pa.array([row["g"]], pa.string()), "part": pa.array([row["part"]], pa.int32()), "clique_number": pa.array([best], pa.int64()), "branches": pa.array([_rows(still)], _BRANCHES)})
+
+    while not branches.isEmpty():
+        dealt = branches.withColumn("_bundle", F.pmod(F.xxhash64("b.candidates", "b.size"), F.lit(tasks)))
+        bundles = dealt.groupBy("g", "part", "_bundle").agg(F.max("clique_number").alias("clique_number"), F.collect_list("b").alias("of"))
+        own = graphs.select(F.col("g").alias("_g"), F.col("part").alias("_part"), "graph")
+        met = bundles.join(own, F.col("g").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_part"))).select("g", "part", "clique_number", "of", "graph")
+        after = staged(met.repartition(tasks).mapInArrow(search, "g string, part int, clique_number long, branches array<struct<candidates:binary,size:int>>"), "searched")
+        found = found.unionByName(after.select("g", "clique_number"))
+        best = found.groupBy(F.col("g").alias("_g")).agg(F.max("clique_number").alias("clique_number"))
+        branches = after.select("g", "part", F.explode("branches").alias("b")).join(best, F.col("g").eqNullSafe(F.col("_g"))).select("g", "part", "clique_number", "b")
+    return found
 
 
 def path_nodes(chains: DataFrame, group: str, least: int = 1) -> DataFrame:

@@ -260,9 +260,9 @@ def read_alternates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def path_cliques(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact clique numbers of the conflict graphs of junctions and of paths that two reads or more show."""
+    """Exact clique numbers of the conflict graphs of the junctions and paths that reads show."""
     chains = rd.read_chains(bridge.reads(spark, folder), ["bam_file", "chrom"])
-    return cl.path_cliques(cl.path_nodes(chains, "bam_file", 2), "bam_file")
+    return cl.path_cliques(cl.path_nodes(chains, "bam_file"), "bam_file")
 
 
 def cluster_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from spliceframe.functions import alternates as alt
 from spliceframe.operators import cliques as cl
 from spliceframe.operators import intervals as iv
 from spliceframe.operators import mates as mt
+from spliceframe.plans import junction_queries as jq
 
 
 @pytest.mark.parametrize("seed", range(10))
@@ -60,3 +61,24 @@ def test_sequences(spark):
     df = spark.createDataFrame([("AAAAC",), ("TTTTA",), ("AA",), ("ACGT",), ("",)], "s string").coalesce(1)
     got = [tuple(r) for r in df.select(alt.poly_a(F.col("s")), alt.reverse_complement(F.col("s"))).collect()]
     assert got == [("A", "GTTTT"), ("T", "TAAAA"), (None, "TT"), (None, "ACGT"), (None, "")]
+
+
+@pytest.mark.parametrize("steps", [1, 20])
+def test_open_branches_are_finished(spark, steps):
+    r = random.Random(steps)
+    rows = [(g, c, [(s, s + r.randrange(1, 12)) for s in (r.randrange(60) for _ in range(r.choice([1, 1, 3])))]) for g in ("f", None, "g") for c in "AB" for _ in range(25)]
+    nodes = spark.createDataFrame(rows, "bam_file string, chrom string, segments array<struct<jx_start:int,jx_end:int>>")
+    want = {g: max(cl.largest_clique(cl.conflicts([np.array(x[2]) for x in rows if x[:2] == (g, c)]))[0] for c in "AB") for g in ("f", None, "g")}
+    got = cl.path_cliques(nodes, "bam_file", steps).collect()
+    assert {x["bam_file"]: x["clique_number"] for x in got} == want and len(got) == 3 and all(x["exact"] for x in got)
+
+
+def test_paths_of_one_read_are_nodes(spark, monkeypatch):
+    reads = spark.createDataFrame([("f", "r", "A", 1, 5), ("f", "r", "A", 9, 12), ("f", "q", "A", 4, 7)], "bam_file string, read string, chrom string, jx_start int, jx_end int")
+    monkeypatch.setattr(jq.bridge, "reads", lambda spark, folder: reads)
+    assert [tuple(x) for x in jq.path_cliques(spark, "").collect()] == [("f", 4, 4, 3, True)]
+
+
+def test_depth_is_a_clique():
+    assert cl.deepest([]) == 0
+    assert cl.deepest([np.array([[1, 5], [4, 9]]), np.array([[9, 12], [3, 5]]), np.array([[5, 5]]), np.array([[12, 20]])]) == 2
