@@ -47,10 +47,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.lift_at_least(_pairs(spark, folder, 20), 4).select("bam_file", "a_start", "a_end", "b_start", "b_end")
 
 
+def _scored_pairs(spark: SparkSession, folder: str, least: int) -> DataFrame:
+    pairs = cooccurrence.scored(_pairs(spark, folder, least))
+    return pairs.select("bam_file", "a_start", "a_end", "b_start", "b_end", "n_ab", "n_a", "n_b", "n", *((F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) for c in ("lift", "conviction")))
+
+
 def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair held together by two reads or more, with lift and conviction."""
-    pairs = cooccurrence.scored(_pairs(spark, folder, 2))
-    return pairs.select("bam_file", "a_start", "a_end", "b_start", "b_end", "n_ab", "n_a", "n_b", "n", *((F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) for c in ("lift", "conviction")))
+    return _scored_pairs(spark, folder, 2)
+
+
+def p5_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair that a read holds together, with lift and conviction."""
+    return _scored_pairs(spark, folder, 1)
 
 
 def _packing(spark: SparkSession, folder: str) -> packing.Packing:
@@ -93,5 +102,5 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_found, p2_percentiles, p2_combined_days, p5_found, p5_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p8_found, p8_forms)
+    own = (p2_found, p2_percentiles, p2_combined_days, p5_found, p5_pairs, p5_all_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p8_found, p8_forms)
     return {f.__name__: f for f in own}

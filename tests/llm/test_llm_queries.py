@@ -15,3 +15,9 @@ def test_query(spark, name):
         assert difference(spark, FOLDER, QUERIES[name], SQL[name]) in ("", "no rows")
     else:
         assert QUERIES[name](spark, FOLDER).columns
+
+
+def test_pairs_of_one_read(spark):
+    every = SQL["p5_pairs"].removesuffix(" WHERE n_ab >= 2")
+    assert every != SQL["p5_pairs"]
+    assert difference(spark, FOLDER, QUERIES["p5_all_pairs"], every) == ""
