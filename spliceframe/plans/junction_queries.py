@@ -23,6 +23,7 @@ from spliceframe.streaming import junction_stream as js
 
 MIN_COV = 30
 TILE = 500
+PIVOT = 10_000
 
 
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,7 +199,9 @@ def safe_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 def sample_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the genes in every sample that the sample sheet names."""
-    samples = [r[0] for r in table(spark, folder, "sample_sheet").select("sample_id").where("sample_id IS NOT NULL").distinct().orderBy("sample_id").limit(10_000).collect()]
+    samples = [r[0] for r in table(spark, folder, "sample_sheet").select("sample_id").where("sample_id IS NOT NULL").distinct().orderBy("sample_id").limit(PIVOT + 1).collect()]
+    if len(samples) > PIVOT:
+        raise ValueError(f"more than {PIVOT} samples for a column each; junction_sample_counts gives the scores in rows")
     return ex.sample_matrix(bridge.junctions(spark, folder).where("gene NOT IN ('', '.')"), ["gene"], "sample_id", "score", samples)
 
 

@@ -207,3 +207,9 @@ def test_results(spark):
     tiles = spark.createDataFrame([("A", 1, 6)], "chrom string, tile int, bases long")
     contigs = spark.createDataFrame([("A", 13), ("B", 3)], "name string, length int")
     assert sorted(tuple(r) for r in rs.with_zero_tiles(tiles, contigs, 10).collect()) == [("A", 0, 0, 0.0), ("A", 1, 6, 2.0), ("B", 0, 0, 0.0)]
+
+
+def test_too_many_samples_for_columns(spark, monkeypatch):
+    monkeypatch.setattr(jq, "PIVOT", 1)
+    with pytest.raises(ValueError, match="more than 1 samples"):
+        jq.sample_matrix(spark, "/root/testdata/sf0.001")
