@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def local_session(cpus: int = 8, name: str = "spliceframe") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a new one of our own only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a new one of our own only where it is unset and all tasks run in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
         folder = f"file://{folder}"
@@ -45,17 +48,20 @@ def clear(spark: SparkSession) -> None:
     delete_path(spark, new_path(spark, "").rsplit("/", 1)[0])
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once."""
+def staged(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once.
+
+    folders: columns by whose values the files lie in folders of their own, so that a filter on them reads no others."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`staged`."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        delete_path(df.sparkSession, path)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`staged`."""
+    for df in tables:
+        for path in {re.match(r".*/spliceframe-[^/]+/[^/]+", f)[0] for f in df.inputFiles()}:
+            delete_path(df.sparkSession, path)
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from spliceframe import session
 
 
@@ -22,6 +24,27 @@ def test_the_session_names_the_folder():
     assert session.shared_folder(_Session) == "hdfs://n/shared"
 
 
+def test_a_cluster_without_a_folder_is_refused():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://n:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster)
+
+
+def test_folders_by_column(spark):
+    df = session.staged(spark.range(10).selectExpr("id", "id % 2 AS part"), "t", "part")
+    assert df.columns == ["id", "part"] and df.where("part = 1").count() == 5
+    path = df.inputFiles()[0].replace("file://", "").rsplit("/", 2)[0]
+    session.discard(df)
+    assert not os.path.exists(path)
+
+
 def test_clear(spark):
     path = session.staged(spark.range(1), "t").inputFiles()[0].replace("file://", "")
     session.clear(spark)
