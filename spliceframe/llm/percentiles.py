@@ -1,26 +1,39 @@
 """Exact percentiles per group by distributed multi-select, and mergeable summaries of separate days.
 
-The values of a group lie in sorted runs of at most about ``RUN`` values (a group of up to ``RUN`` values in one run). In a round, every
-task proposes, for each open (group, percentile), the weighted median of the medians of its runs' remaining ranges; the weighted
-median of the proposals becomes the pivot; the runs count their values below, at and above it; the side that can't hold the wanted rank is
-discarded. A percentile is found when the pivot has its rank, or when so few values remain that one run holds them. No task
-ever holds more than a run of a group, and only ranges and counts travel between rounds.
+The values of every input split become sorted runs where they are; no value is shuffled before the selection. In a round, every run
+proposes, for each open range of a group, the median of its values in the range; the weighted median of the proposals becomes the pivot;
+the runs count their values below and at the pivot; the side that can't hold the wanted rank is discarded. Percentiles of a group share
+a range until a pivot parts them. A percentile is found when the pivot has its rank, or when at most ``LEAST`` values remain, which
+are then gathered. Every group takes part in the first round, whatever its size. Groups are dealt to blocks of at most about ``ASKS``
+percentiles by a hash, and a block's ranges, proposals and counts travel as arrays; sums and medians are taken within lanes of splits, then over the lanes.
 
 A quantile p of n values is the smallest value with at least p x n values at or below it, always one of the values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceframe.session import BROADCAST_ROWS, discard, hinted, small_enough, staged
-
-RUN = 4096
+from spliceframe.session import BROADCAST_BYTES, discard, hinted, new_path, staged
+
+#: values that a task sorts at a time
+RUN = 1 << 20
+#: remaining values of a range that are gathered
+LEAST = 64
+#: percentiles of a block of groups
+ASKS = 16_384
+#: splits of a lane
+LANE = 256
+#: bytes of an asked percentile with its group, range and pivot
+ASK_BYTES = 64
+#: summaries of a group that one task merges
+FAN = 64
 SCALE = 10_000
 
 
@@ -43,183 +56,418 @@ def _own_names(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, l
     return rows.where(F.col("_v").isNotNull() & ~F.isnan("_v")), [F.col(o).alias(k) for k, o in zip(keys, own)], own
 
 
-def _sorted_runs(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, pieces, run (sorted values). Groups above RUN values are cut by row position, evenly."""
-    rows = df.select(*keys, "_v", F.monotonically_increasing_id().alias("_row"))
-    sizes = df.groupBy(*keys).count()
-    large = staged(sizes.where(F.col("count") > RUN).select(*(F.col(k).alias(f"_{k}") for k in keys), F.ceil(F.col("count") / RUN).cast("long").alias("pieces")), "large-groups")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    cut = rows.join(hinted(large), on, "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
-    cut = cut.withColumn("piece", F.col("_row") % F.col("pieces"))
-    return cut.groupBy(*keys, "pieces", "piece").agg(F.sort_array(F.collect_list("_v")).alias("run"))
+def _hash(keys: list[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *(x for k in keys for x in (F.col(k).isNull(), F.col(k))))
+
+
+def _groups(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
+    """(staged (keys, n, g), number of groups, seed): g is a hash of the keys that no two groups share under this seed."""
+    sizes = staged(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    seed = 0
+    while True:
+        groups = sizes.withColumn("g", _hash(keys, seed))
+        total, different = groups.agg(F.count(F.lit(1)), F.count_distinct("g")).first()
+        if total == different:
+            return groups, total, seed
+        seed += 1
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, int], keep: DataFrame | None = None) -> DataFrame:
-    """One row per group: keys, n and a column for each of ``wanted`` (name: quantile in 1 / 10,000).
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, int], keep: str | None = None) -> DataFrame:
+    """One row per group: keys, n and a column for each of ``wanted`` (name: quantile in 1 / 10,000); ``keep`` names a column for the rounds a group took part in.
 
     Null and NaN values are left out (filter with :func:`usable` for more); infinities are values like others. Null keys form groups. Equal
     values and repeated rows count each. A group without values gives no row; an empty table none.
     """
     df, named, keys = _own_names(df, keys, value)
-    runs = staged(_sorted_runs(df, keys), "runs")
-    n = F.size("run").cast("long")
-    small = runs.where(F.col("pieces") == 1).select(*named, n.alias("n"), *(F.col("run")[rank_of(n, p).cast("int") - 1].alias(c) for c, p in wanted.items()))
-    long_runs = runs.where(F.col("pieces") > 1)
-    groups = staged(long_runs.groupBy(*keys).agg(F.sum(n).alias("n")).withColumn("gid", F.monotonically_increasing_id()), "groups")
-    if groups.isEmpty():
-        return small
-    on = [long_runs[k].eqNullSafe(groups[k]) for k in keys]
-    own = long_runs.join(hinted(groups), on).select("gid", "run")
-    found = select_ranks(own, groups, list(wanted.values()))
-    wide = found.groupBy("gid").agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(c) for c, p in wanted.items()))
-    large = groups.join(wide, "gid").select(*named, "n", *wanted)
-    return small.unionByName(large)
-
-
-def select_ranks(runs: DataFrame, groups: DataFrame, wanted: list[int]) -> DataFrame:
-    """(gid, p, value) for every group and each p of ``wanted``: the rounds of the multi-select over sorted runs (gid, run)."""
-    none = F.lit(None).cast("double")
-    bounded = small_enough(groups, BROADCAST_ROWS // len(wanted))
-    ranks = F.array(*(F.struct(F.lit(p).alias("p"), rank_of(F.col("n"), p).alias("k")) for p in dict.fromkeys(wanted)))
-    state = groups.select("gid", "n", F.explode(ranks).alias("r")).select("gid", "r.p", "r.k", none.alias("lo"), none.alias("hi"), F.col("n").alias("m"), none.alias("value"))
-    state = staged(state, "state")
-    while not state.where(_open()).isEmpty():
-        after = staged(_round(runs, state, bounded), "state")
-        discard(state)
-        state = after
-    return state.where(F.col("value").isNotNull()).select("gid", "p", "value").unionByName(_gathered(runs, state.where(F.col("value").isNull()), bounded))
+    groups, total, seed = _groups(df, keys)
+    ranks = list(dict.fromkeys(wanted.values()))
+    found = select_ranks(df.select(_hash(keys, seed).alias("g"), "_v"), groups, total, ranks)
+    values = [F.col("found")[ranks.index(p)].alias(c) for c, p in wanted.items()]
+    return groups.join(found, "g").select(*named, "n", *values, *([F.col("rounds").alias(keep)] if keep else []))
+
+
+# ---- runs
+
+
+def _list(column: pa.Array, r: int) -> np.ndarray:
+    """The list in row r."""
+    return np.asarray(column[r].values)
+
+
+def _runs(blocks: int, visits: int) -> Callable:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane = TaskContext.get().partitionId() // LANE
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            g, v = (np.concatenate(x) for x in zip(*held))
+            block = g % blocks
+            order = np.lexsort((v, g, block))
+            g, v, block = g[order], v[order], block[order]
+            at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            sizes = np.diff(np.append(at, len(g)))
+            cut = np.flatnonzero(np.concatenate([[True], block[at][1:] != block[at][:-1]]))
+            begins = np.append(cut, len(at))
+            values = np.append(at, len(g))[begins]
+            lists = lambda x, offsets: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x))
+            own = block[at][cut]
+            columns = [pa.array(own % visits, pa.int32()), pa.array(own, pa.int64()), pa.array(np.full(len(own), lane), pa.int32()), lists(g[at], begins), lists(sizes, begins), lists(v, values)]
+            return pa.RecordBatch.from_arrays(columns, ["visit", "block", "lane", "gs", "sizes", "run"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, RUN):
+                part = batch.slice(i, RUN)
+                held.append((np.asarray(part.column(0)), np.asarray(part.column(1))))
+                size += part.num_rows
+                if size >= RUN:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
+    return build
 
-def _open() -> Column:
-    return F.col("value").isNull() & (F.col("m") > RUN)
 
+# ---- ranges of a block of groups; lo and hi are bounds that don't belong to a range, NaN where there is none
 
-def _asked(runs: DataFrame, state: DataFrame, bounded: bool, *columns: str) -> DataFrame:
-    """Every run with the open ranges of its group, as one array; bounded: there are few groups, so the ranges may be broadcast."""
-    asks = state.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("p", "lo", "hi", *columns))).alias("asks"))
-    return runs.join(F.broadcast(asks) if bounded else asks, "gid")
 
+_STATE = "visit int, block long, open boolean, rounds int, gs array<long>, n array<long>, k array<long>, m array<long>, lo array<double>, hi array<double>, found array<double>, done array<boolean>, took array<int>"
+_KINDS = {"gs": pa.int64(), "n": pa.int64(), "k": pa.int64(), "m": pa.int64(), "lo": pa.float64(), "hi": pa.float64(), "found": pa.float64(), "done": pa.bool_(), "took": pa.int32()}
 
-def _range(run: np.ndarray, lo: float | None, hi: float | None) -> tuple[int, int]:
-    """The part of a sorted run strictly between lo and hi (None: no bound)."""
-    return 0 if lo is None else int(np.searchsorted(run, lo, "right")), len(run) if hi is None else int(np.searchsorted(run, hi, "left"))
 
+def _state_row(visit: int, block: int, rounds: int, s: dict[str, np.ndarray]) -> pa.RecordBatch:
+    still = bool((~s["done"] & (s["m"] > LEAST)).any()) or rounds == 0
+    head = {"visit": pa.array([visit], pa.int32()), "block": pa.array([block], pa.int64()), "open": pa.array([still]), "rounds": pa.array([rounds], pa.int32())}
+    return pa.RecordBatch.from_pydict(head | {c: pa.array([s[c]], pa.list_(t)) for c, t in _KINDS.items()})
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[dict]]]:
-    for gid, run, asks in zip(batch.column("gid").to_pylist(), batch.column("run"), batch.column("asks").to_pylist()):
-        yield gid, np.asarray(run.values), asks
+
+def _first_state(wanted: list[int], visits: int) -> Callable:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ps = np.array(wanted, np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = batch.column("block")[r].as_py()
+                of = batch.column("of")[r].values
+                g, n = np.asarray(of.field(0)), np.asarray(of.field(1))
+                k = np.maximum(1, (n // SCALE)[:, None] * ps + -(-(n % SCALE)[:, None] * ps // SCALE)).ravel()
+                m = np.repeat(n, len(ps))
+                none = np.full(len(m), np.nan)
+                s = {"gs": g, "n": n, "k": k, "m": m, "lo": none, "hi": none, "found": none, "done": np.zeros(len(m), bool), "took": np.zeros(len(g), np.int32)}
+                yield _state_row(block % visits, block, 0, s)
+
+    return first
+
+
+def _read_state(batch: pa.RecordBatch, r: int) -> dict[str, np.ndarray]:
+    return {c: _list(batch.column(c), r) for c in _KINDS}
+
+
+def _ranges(s: dict[str, np.ndarray], rounds: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the first percentile of each distinct open range, number of the range of every percentile, -1 where it isn't open); last: the ranges to gather."""
+    wanted = len(s["k"]) // max(1, len(s["gs"]))
+    g = np.repeat(s["gs"], wanted)
+    open_ = ~s["done"] if last else ~s["done"] & ((s["m"] > LEAST) | (rounds == 0))
+    at = np.flatnonzero(open_)
+    # percentiles are open ranges in any order, so ranges that are alike are brought together first
+    order = at[np.lexsort((s["hi"][at], s["lo"][at], g[at]))]
+    alike = lambda x: (x[1:] == x[:-1]) | (np.isnan(x[1:]) & np.isnan(x[:-1]))
+    same = (g[order][1:] == g[order][:-1]) & alike(s["lo"][order]) & alike(s["hi"][order]) if len(order) else np.zeros(0, bool)
+    fresh = np.concatenate([[True], ~same])[: len(order)]
+    number = np.full(len(g), -1, np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return order[fresh], number
+
+
+def _asks(last: bool) -> Callable:
+    """The distinct open ranges of each block, by group."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                s = _read_state(batch, r)
+                first, _ = _ranges(s, batch.column("rounds")[r].as_py(), last)
+                if len(first):
+                    g = np.repeat(s["gs"], len(s["k"]) // len(s["gs"]))[first]
+                    lists = [pa.array([x], pa.list_(t)) for x, t in ((g, pa.int64()), (s["lo"][first], pa.float64()), (s["hi"][first], pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[r].as_py()], pa.int64()), *lists], ["block", "ag", "alo", "ahi"])
+
+    return ask
+
+
+def _bisect(run: np.ndarray, i: np.ndarray, j: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """In each part i .. j of a run the place of x, before (or behind, ``right``) values equal to it."""
+    i, j = i.copy(), j.copy()
+    open_ = np.flatnonzero(i < j)
+    while len(open_):
+        mid = (i[open_] + j[open_]) >> 1
+        up = run[mid] <= x[open_] if right else run[mid] < x[open_]
+        i[open_[up]] = mid[up] + 1
+        j[open_[~up]] = mid[~up]
+        open_ = open_[i[open_] < j[open_]]
+    return i
+
+
+def _parts(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, from, to): the part of the run in row r that lies in each asked range."""
+    gs, sizes, run, ag, lo, hi = (_list(batch.column(c), r) for c in ("gs", "sizes", "run", "ag", "alo", "ahi"))
+    ends = np.cumsum(sizes)
+    at = np.minimum(np.searchsorted(gs, ag), len(gs) - 1)
+    there = gs[at] == ag
+    i, j = np.where(there, ends[at] - sizes[at], 0), np.where(there, ends[at], 0)
+    low, high = np.isnan(lo), np.isnan(hi)
+    begin = np.where(low, i, _bisect(run, i, np.where(low, i, j), lo, True))
+    end = np.where(high, j, _bisect(run, begin, np.where(high, begin, j), hi, False))
+    return run, begin, np.maximum(begin, end)
+
+
+def _message(batch: pa.RecordBatch, r: int, **lists: pa.Array) -> pa.RecordBatch:
+    head = {"block": pa.array([batch.column("block")[r].as_py()], pa.int64()), "lane": pa.array([batch.column("lane")[r].as_py()], pa.int32())}
+    return pa.RecordBatch.from_pydict(head | {c: pa.array([x], pa.list_(pa.int32() if c == "at" else pa.float64() if c in ("median", "value") else pa.int64())) for c, x in lists.items()})
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's proposal for each open range: the weighted median of its runs' medians."""
-    medians: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    """For each open range the median of the run's values in it, and their number."""
     for batch in batches:
-        for gid, run, asks in _each(batch):
-            for a in asks:
-                i, j = _range(run, a["lo"], a["hi"])
-                if j > i:
-                    medians.setdefault((gid, a["p"]), []).append((float(run[(i + j - 1) // 2]), j - i))
-    rows = []
-    for (gid, p), of in medians.items():
-        of.sort()
-        weight = np.cumsum([w for _, w in of])
-        rows.append((gid, p, of[int(np.searchsorted(weight, (weight[-1] + 1) // 2))][0], int(weight[-1])))
-    yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate((("gid", pa.int64()), ("p", pa.int32()), ("median", pa.float64()), ("weight", pa.int64())))})
+        for r in range(batch.num_rows):
+            run, i, j = _parts(batch, r)
+            at = np.flatnonzero(j > i)
+            if len(at):
+                yield _message(batch, r, at=at, median=run[(i[at] + j[at] - 1) >> 1], weight=(j - i)[at])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values below and at the pivot within each open range, summed over the task's runs."""
-    counts: dict[tuple[int, int], list[int]] = {}
+    """For each open range the run's values below and at the pivot."""
     for batch in batches:
-        for gid, run, asks in _each(batch):
-            for a in asks:
-                i, j = _range(run, a["lo"], a["hi"])
-                below, upto = (int(np.clip(np.searchsorted(run, a["pivot"], side), i, j)) for side in ("left", "right"))
-                c = counts.setdefault((gid, a["p"]), [0, 0])
-                c[0] += below - i
-                c[1] += upto - below
-    yield pa.RecordBatch.from_pydict({"gid": pa.array([g for g, _ in counts], pa.int64()), "p": pa.array([p for _, p in counts], pa.int32()), "below": pa.array([c[0] for c in counts.values()], pa.int64()), "at": pa.array([c[1] for c in counts.values()], pa.int64())})
-
-
-def _round(runs: DataFrame, state: DataFrame, bounded: bool) -> DataFrame:
-    active = state.where(_open())
-    proposals = _asked(runs, active, bounded).mapInArrow(_propose, "gid long, p int, median double, weight long")
-    # one proposal a task, range and round
-    ordered = proposals.groupBy("gid", "p").agg(F.sort_array(F.collect_list(F.struct("median", "weight"))).alias("all"), F.sum("weight").alias("total"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("double").alias("pivot"))
-    half = F.aggregate("all", start, lambda a, x: F.struct((a["sum"] + x["weight"]).alias("sum"), F.coalesce(a["pivot"], F.when((a["sum"] + x["weight"]) * 2 >= F.col("total"), x["median"])).alias("pivot")))
-    pivots = ordered.select("gid", "p", half["pivot"].alias("pivot"))
-    aimed = staged(active.join(pivots, ["gid", "p"]), "pivots")
-    counted = _asked(runs, aimed, bounded, "pivot").mapInArrow(_count, "gid long, p int, below long, at long").groupBy("gid", "p").agg(F.sum("below").alias("below"), F.sum("at").alias("at"))
-    j = aimed.join(counted, ["gid", "p"])
-    left, here = F.col("k") <= F.col("below"), F.col("k") <= F.col("below") + F.col("at")
-    moved = j.select(
-        "gid",
-        "p",
-        F.when(left | here, F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("k"),
-        F.when(left | here, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
-        F.when(left, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-        F.when(left, F.col("below")).when(here, F.col("at")).otherwise(F.col("m") - F.col("below") - F.col("at")).alias("m"),
-        F.when(~left & here, F.col("pivot")).alias("value"),
-    )
-    return state.where(~_open()).unionByName(moved)
-
-
-def _gathered(runs: DataFrame, state: DataFrame, bounded: bool) -> DataFrame:
-    """The wanted rank among the at most RUN values that remain of each range."""
-
-    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(gid, a["p"], a["k"], run[slice(*_range(run, a["lo"], a["hi"]))]) for gid, run, asks in _each(batch) for a in asks]
-            rows = [r for r in rows if len(r[3])]
-            yield pa.RecordBatch.from_pydict({"gid": pa.array([r[0] for r in rows], pa.int64()), "p": pa.array([r[1] for r in rows], pa.int32()), "k": pa.array([r[2] for r in rows], pa.int64()), "part": pa.array([r[3] for r in rows], pa.list_(pa.float64()))})
+        for r in range(batch.num_rows):
+            run, i, j = _parts(batch, r)
+            at = np.flatnonzero(j > i)
+            if len(at):
+                pivot = _list(batch.column("pivot"), r)[at]
+                below = _bisect(run, i[at], j[at], pivot, False)
+                yield _message(batch, r, at=at, below=below - i[at], equal=_bisect(run, below, j[at], pivot, True) - below)
+
+
+def _remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The run's values in each range that is gathered."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            run, i, j = _parts(batch, r)
+            size = j - i
+            if size.sum():
+                at = np.repeat(np.arange(len(i)), size)
+                yield _message(batch, r, at=at, value=run[np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + i[at]])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    """The lists of all rows of a block, joined."""
+    parts = [[np.asarray(b.column(n).combine_chunks().flatten() if isinstance(b.column(n), pa.ChunkedArray) else b.column(n).flatten()) for n in names] for b in batches]
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def _pivots(at: np.ndarray, median: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """The weighted median of the proposals for each range, and their weight."""
+    order = np.lexsort((median, at))
+    at, median, weight = at[order], median[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    upto = np.cumsum(weight)
+    before = upto[first] - weight[first]
+    total = np.append(before[1:], upto[-1]) - before
+    return {"at": at[first], "median": median[np.searchsorted(upto, before + (total + 1) // 2)], "weight": total}
+
+
+def _sums(at: np.ndarray, below: np.ndarray, equal: np.ndarray) -> dict[str, np.ndarray]:
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
+    return {"at": at[order][first], "below": np.add.reduceat(below[order], first), "equal": np.add.reduceat(equal[order], first)}
 
-    parts = _asked(runs, state, bounded, "k").mapInArrow(remaining, "gid long, p int, k long, part array<double>")
-    values = F.sort_array(F.flatten(F.collect_list("part")))
-    return parts.groupBy("gid", "p").agg(F.max("k").alias("k"), values.alias("all")).select("gid", "p", F.col("all")[F.col("k").cast("int") - 1].alias("value"))
+
+def _reduced(messages: DataFrame, lanes: int, merge: Callable, fields: dict[str, str]) -> DataFrame:
+    """(block, fields): the messages of a block merged within lanes, then over the lanes."""
+    names = list(fields)
+    kinds = {"array<int>": pa.int32(), "array<long>": pa.int64(), "array<double>": pa.float64()}
+    ddl = ", ".join(f"{n} {t}" for n, t in fields.items())
+
+    def within(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = merge(*_joined(batches, *names))
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int64())} | {n: pa.array([done[n]], pa.list_(kinds[t])) for n, t in fields.items()})
+
+    # real types: Spark reads them to pick the iterator form of applyInArrow
+    within.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    if lanes > 1:
+        messages = messages.groupBy("block", "lane").applyInArrow(within, f"block long, {ddl}")
+    return messages.groupBy("block").applyInArrow(within, f"block long, {ddl}")
+
+
+def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state after a round: the side of the pivot that can't hold the rank is discarded."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            s, rounds = {c: x.copy() for c, x in _read_state(batch, r).items()}, batch.column("rounds")[r].as_py()
+            _, number = _ranges(s, rounds, False)
+            at = np.flatnonzero(number >= 0)
+            pivot, below, equal = (_list(batch.column(c), r)[number[at]] for c in ("pivot", "below", "equal"))
+            k = s["k"][at]
+            left, here = k <= below, (k > below) & (k <= below + equal)
+            right = ~left & ~here
+            s["done"][at[here]], s["found"][at[here]] = True, pivot[here]
+            s["hi"][at[left]], s["m"][at[left]] = pivot[left], below[left]
+            s["lo"][at[right]], s["m"][at[right]] = pivot[right], (s["m"][at] - below - equal)[right]
+            s["k"][at[right]] = (k - below - equal)[right]
+            s["took"][np.unique(at // (len(s["k"]) // len(s["gs"])))] += 1
+            yield _state_row(batch.column("visit")[r].as_py(), batch.column("block")[r].as_py(), rounds + 1, s)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, found, rounds): the rank among the gathered values where the rounds left more than one."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            s = {c: x.copy() for c, x in _read_state(batch, r).items()}
+            _, number = _ranges(s, batch.column("rounds")[r].as_py(), True)
+            at = np.flatnonzero(number >= 0)
+            if len(at):
+                of, value = _list(batch.column("at"), r), _list(batch.column("value"), r)
+                order = np.lexsort((value, of))
+                begin = np.searchsorted(of[order], number[at])
+                s["found"][at] = value[order][begin + s["k"][at] - 1]
+            wanted = len(s["k"]) // len(s["gs"])
+            found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s["k"]) + 1, wanted), pa.int32()), pa.array(s["found"]))
+            yield pa.RecordBatch.from_arrays([pa.array(s["gs"]), found, pa.array(s["took"], pa.int32())], ["g", "found", "rounds"])
+
+
+_FOUND = "g long, found array<double>, rounds int"
+_PROPOSALS = {"at": "array<int>", "median": "array<double>", "weight": "array<long>"}
+_COUNTS = {"at": "array<int>", "below": "array<long>", "equal": "array<long>"}
+
+
+def select_ranks(rows: DataFrame, groups: DataFrame, total: int, wanted: list[int]) -> DataFrame:
+    """(g, found, rounds): for each of the ``total`` groups (g, n) the values of (g, _v) at the quantiles ``wanted``, in that order, and the rounds it took part in.
+
+    The asked ranges are broadcast to the runs, at most ``BROADCAST_BYTES`` of them at a time; more groups are gone through in visits, each of which
+    reads its own runs only.
+    """
+    spark = rows.sparkSession
+    blocks = max(1, -(-total * len(wanted) // ASKS))
+    visits = max(1, min(blocks, -(-total * len(wanted) * ASK_BYTES // BROADCAST_BYTES)))
+    runs = staged(rows.mapInArrow(_runs(blocks, visits), "visit int, block long, lane int, gs array<long>, sizes array<long>, run array<double>"), "runs", *(["visit"] if visits > 1 else []))
+    lanes = 1 + (runs.agg(F.max("lane")).first()[0] or 0)
+    dealt = groups.groupBy(F.pmod("g", F.lit(blocks).cast("long")).alias("block")).agg(F.sort_array(F.collect_list(F.struct("g", "n"))).alias("of"))
+    start = staged(dealt.mapInArrow(_first_state(wanted, visits), _STATE), "state")
+    results = new_path(spark, "found")
+    for visit in range(visits):
+        own, state = (runs.where(F.col("visit") == visit), start.where(F.col("visit") == visit)) if visits > 1 else (runs, start)
+        _selected(own.drop("visit"), state, lanes).write.mode("append").parquet(results)
+    discard(runs, start)
+    return spark.read.schema(_FOUND).parquet(results)
+
+
+def _selected(runs: DataFrame, state: DataFrame, lanes: int) -> DataFrame:
+    start = state
+    while not state.where("open").isEmpty():
+        asks = state.where("open").mapInArrow(_asks(False), "block long, ag array<long>, alo array<double>, ahi array<double>")
+        proposals = runs.join(F.broadcast(asks), "block").mapInArrow(_propose, "block long, lane int, at array<int>, median array<double>, weight array<long>")
+        pivots = _reduced(proposals, lanes, _pivots, _PROPOSALS)  # every open range holds a value, so at is 0, 1, 2, ...
+        aimed = staged(asks.join(pivots, "block").select("block", "ag", "alo", "ahi", F.col("median").alias("pivot")), "pivots")
+        counted = runs.join(F.broadcast(aimed), "block").mapInArrow(_count, "block long, lane int, at array<int>, below array<long>, equal array<long>")
+        counts = _reduced(counted, lanes, _sums, _COUNTS).select("block", "below", "equal")
+        moved = state.where("open").join(aimed.select("block", "pivot"), "block").join(counts, "block").mapInArrow(_advance, _STATE)
+        after = staged(state.where(~F.col("open")).unionByName(moved), "state")
+        discard(aimed, *([state] if state is not start else []))
+        state = after
+    asks = state.mapInArrow(_asks(True), "block long, ag array<long>, alo array<double>, ahi array<double>")
+    parts = runs.join(F.broadcast(asks), "block").mapInArrow(_remain, "block long, lane int, at array<int>, value array<double>")
+    left = _reduced(parts, 1, lambda at, value: {"at": at, "value": value}, {"at": "array<int>", "value": "array<double>"})
+    return state.join(left, "block", "left").mapInArrow(_finish, _FOUND)
+
+
+# ---- summaries
 
 
 def summaries(df: DataFrame, keys: list[str], value: str, steps: int = 400) -> DataFrame:
-    """A mergeable summary per group: keys, n and ``points``, the values at the ranks ceil(i x n / steps), i = 1 .. steps (all values where n <= steps).
+    """A mergeable summary per group: keys, n, err and ``points`` (value v, weight w: it stands for the w ranks up to its own).
 
-    Add the day to ``keys`` to get one per day; :func:`merged` combines any of them. The rank error of a quantile read from merged
-    summaries is below n / steps in all.
+    The points are the values at the ranks ceil(i x n / steps), i = 1 .. steps, all values where n <= steps. err bounds the error of a rank read from it, in rows:
+    0 for n <= steps, else n / steps. Add the day to ``keys`` to get one per day; :func:`merged_summaries` combines any of them.
     """
     if SCALE % steps:
         raise ValueError(f"steps must divide {SCALE}")
-    names = {f"q{i}": i * (SCALE // steps) for i in range(1, steps + 1)}
     df, named, keys = _own_names(df, keys, value)
-    runs = staged(_sorted_runs(df, keys), "runs")
-    n = F.size("run").cast("long")
-    ranks = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.col("run")[rank_of(n, i * (SCALE // steps)).cast("int") - 1])
-    small = runs.where(F.col("pieces") == 1).select(*named, n.alias("n"), F.when(n <= steps, F.col("run")).otherwise(ranks).alias("points"))
-    long_runs = runs.where(F.col("pieces") > 1)
-    groups = staged(long_runs.groupBy(*keys).agg(F.sum(n).alias("n")).withColumn("gid", F.monotonically_increasing_id()), "groups")
-    if groups.isEmpty():
-        return small
-    own = long_runs.join(hinted(groups), [long_runs[k].eqNullSafe(groups[k]) for k in keys]).select("gid", "run")
-    found = select_ranks(own, groups, list(names.values()))
-    points = found.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("p", "value"))).alias("of"))
-    large = groups.join(points, "gid").select(*named, "n", F.transform("of", lambda x: x["value"]).alias("points"))
-    return small.unionByName(large)
+    groups, _, seed = _groups(df, keys)
+    rows = df.select(_hash(keys, seed).alias("g"), "_v")
+    large = staged(groups.where(F.col("n") > steps), "large-groups")
+    small = rows.join(hinted(large.select("g")), "g", "left_anti").groupBy("g").agg(F.sort_array(F.collect_list("_v")).alias("all"))  # at most ``steps`` values each
+    points = F.transform("all", lambda v: F.struct(v.alias("v"), F.lit(1).cast("long").alias("w")))
+    out = groups.where(F.col("n") <= steps).join(small, "g").select(*named, "n", F.lit(0).cast("long").alias("err"), points.alias("points"))
+    total = large.count()
+    if total:
+        ranks = [i * (SCALE // steps) for i in range(1, steps + 1)]
+        own = rows.join(hinted(large.select("g")), "g", "left_semi")
+        found = select_ranks(own, large, total, ranks)
+        rank = lambda i: F.when(i > 0, rank_of(F.col("n"), i * (SCALE // steps))).otherwise(0)
+        at = F.transform("found", lambda v, i: F.struct(v.alias("v"), (rank(i + 1) - rank(i)).alias("w")))
+        out = out.unionByName(large.join(found, "g").select(*named, "n", F.ceil(F.col("n") / steps).cast("long").alias("err"), at.alias("points")))
+    return out
+
+
+def _levelled(parts: DataFrame, keys: list[str], steps: int) -> DataFrame:
+    """``parts`` until no group has more than ``FAN`` of them; FAN at a time become one, cut to 4 x steps points."""
+    own = [f"_k{i}" for i in range(len(keys))]
+    parts = parts.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keys, own)), "n", "err", "points")
+    while True:
+        parts = staged(parts, "summaries")
+        most = parts.groupBy(*own).count().agg(F.max("count")).first()[0] or 0
+        if most <= FAN:
+            return parts.select(*(F.col(o).alias(k) for k, o in zip(keys, own)), "n", "err", "points")
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(-(-most // FAN)))
+        parts = _cut(_concatenated(parts.withColumn("_salt", salt), [*own, "_salt"]).drop("_salt"), 4 * steps)
 
 
-def merged(parts: DataFrame, keys: list[str], wanted: dict[str, int]) -> DataFrame:
-    """Quantiles of the union of what the summaries ``parts`` stand for: keys, n, and a column for each of ``wanted``.
+def _concatenated(parts: DataFrame, keys: list[str]) -> DataFrame:
+    points = F.sort_array(F.flatten(F.collect_list("points")))
+    return parts.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(F.sum("n").alias("n"), F.sum("err").alias("err"), points.alias("points"))
+
+
+def _cut(summary: DataFrame, most: int) -> DataFrame:
+    """Summaries of more than ``most`` points cut to ``most``, at the ranks i x n / most, which adds n / most to err."""
 
-    A point stands for the ranks after the point before it, so each summary adds less than its n / steps to the rank error.
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points, n, err = batch.column("points"), batch.column("n").to_pylist(), batch.column("err").to_pylist()
+            out = []
+            for r in range(batch.num_rows):
+                v, w = (np.asarray(points[r].values.field(i)) for i in (0, 1))
+                if len(v) > most:
+                    targets = -(-np.arange(1, most + 1) * n[r] // most)
+                    v, w = v[np.searchsorted(np.cumsum(w), targets)], np.diff(targets, prepend=0)
+                    err[r] += -(-n[r] // most)
+                out.append(pa.StructArray.from_arrays([pa.array(v), pa.array(w, pa.int64())], ["v", "w"]))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.concat_arrays(out))
+            columns = {"points": lists, "err": pa.array(err, pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+
+    return summary.mapInArrow(cut, summary.schema)
+
+
+def merged_summaries(parts: DataFrame, keys: list[str], steps: int = 400) -> DataFrame:
+    """Summaries (keys, n, err, points) of the union of what the summaries ``parts`` stand for, which merge again like any others.
+
+    At most 4 x steps points each; err is the sum of the parts' bounds and n / (4 x steps) for each cut (one, and one more for every FAN-fold number of parts).
     """
-    size = F.size("points").cast("long")
+    return _cut(_concatenated(_levelled(parts, keys, steps), keys), 4 * steps)
 
-    def weight(i: Column) -> Column:
-        return F.ceil((i + 1) * F.col("n") / size).cast("long") - F.ceil(i * F.col("n") / size).cast("long")
 
-    weighted = F.transform("points", lambda v, i: F.struct(v.alias("v"), weight(i.cast("long")).alias("w")))
-    all_of = parts.select(*keys, "n", weighted.alias("of")).groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("of"))).alias("of"))
+def read_quantiles(summary: DataFrame, wanted: dict[str, int]) -> DataFrame:
+    """``summary`` with a column for each of ``wanted`` in place of its points."""
 
     def at(p: int) -> Column:
         k = rank_of(F.col("n"), p)
         start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("double").alias("v"))
-        return F.aggregate("of", start, lambda a, x: F.struct((a["sum"] + x["w"]).alias("sum"), F.coalesce(a["v"], F.when(a["sum"] + x["w"] >= k, x["v"])).alias("v")))["v"]
+        return F.aggregate("points", start, lambda a, x: F.struct((a["sum"] + x["w"]).alias("sum"), F.coalesce(a["v"], F.when(a["sum"] + x["w"] >= k, x["v"])).alias("v")))["v"]
+
+    return summary.select("*", *(at(p).alias(c) for c, p in wanted.items())).drop("points")
 
-    return all_of.select(*keys, "n", *(at(p).alias(c) for c, p in wanted.items()))
+
+def merged(parts: DataFrame, keys: list[str], wanted: dict[str, int]) -> DataFrame:
+    """Quantiles of the union of what the summaries ``parts`` stand for: keys, n, and a column for each of ``wanted``; the rank error is below the sum of the
+    parts' err (and n / 1,600 for every FAN-fold number of parts)."""
+    return read_quantiles(_concatenated(_levelled(parts, keys, 400), keys), wanted).drop("err")

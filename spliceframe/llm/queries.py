@@ -28,12 +28,26 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_combined_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles from summaries of the days of run_at (UTC), combined; rank error below n / 400."""
+    """Percentiles from summaries of the days of run_at (UTC), combined; rank error below n / 400 and n / 1,600 for every 64-fold number of days."""
     rows = _fpkm(spark, folder).withColumn("day", F.to_date("run_at"))
     days = percentiles.summaries(rows, ["gene", "sample_id", "day"], "fpkm")
     return percentiles.merged(days, ["gene", "sample_id"], P_FOUND)
 
 
+def p2_day_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the percentiles of the combined days are within a rank error of n / 200, told by counting all values again."""
+    combined = p2_combined_days(spark, folder).withColumn("of", F.array(*(F.struct(F.lit(p).alias("p"), F.col(c).alias("value")) for c, p in P_FOUND.items())))
+    combined = combined.select(F.col("gene").alias("_g"), F.col("sample_id").alias("_s"), "n", "of")
+    rows = _fpkm(spark, folder).join(combined, (F.col("gene") == F.col("_g")) & (F.col("sample_id") == F.col("_s")))
+    counts = [F.count_if(F.col("fpkm") < F.col("of")[i]["value"]).alias(f"below{i}") for i in range(len(P_FOUND))] + [F.count_if(F.col("fpkm") <= F.col("of")[i]["value"]).alias(f"upto{i}") for i in range(len(P_FOUND))]
+    told = rows.groupBy("gene", "sample_id", "n").agg(F.count(F.lit(1)).alias("rows"), *counts)
+    within = F.col("rows") == F.col("n")
+    for i, p in enumerate(P_FOUND.values()):
+        k = percentiles.rank_of(F.col("n"), p)
+        within &= (F.col(f"below{i}") * 200 < k * 200 + F.col("n")) & (k * 200 <= F.col(f"upto{i}") * 200 + F.col("n"))
+    return told.select("gene", "sample_id", "n", within.alias("within"))
+
+
 def _pairs(spark: SparkSession, folder: str, least: int) -> DataFrame:
     rows = table(spark, folder, "all_jxs").where(F.col("jx_start").isNotNull() & F.col("jx_end").isNotNull())
     item = cooccurrence.packed(F.least("jx_start", "jx_end"), F.greatest("jx_start", "jx_end"))
@@ -102,5 +116,5 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_found, p2_percentiles, p2_combined_days, p5_found, p5_pairs, p5_all_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p8_found, p8_forms)
+    own = (p2_found, p2_percentiles, p2_combined_days, p2_day_errors, p5_found, p5_pairs, p5_all_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p8_found, p8_forms)
     return {f.__name__: f for f in own}
