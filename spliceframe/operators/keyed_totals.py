@@ -1,12 +1,9 @@
 """Totals per key when a few keys hold most rows.
 
-Rows are never shuffled by key. The distinct keys become a dictionary; every equal input split adds its rows
-into dense arrays indexed by the dictionary code (numpy bincount / scatter-add) and emits the blocks of the arrays
-that hold anything; blocks are summed in two levels (first within lanes of splits, then over the lanes). A task's work depends
-on the bytes of its split and on the size of the dictionary, never on how often a key occurs.
-
-A dictionary beyond the measured bound isn't collected: every split then keeps a local dictionary, emits its totals as one row
-a key, and a plain grouped sum (with map-side combine) finishes; a key still arrives at most once per flush of a split.
+Rows are never shuffled by key. Every equal input split encodes its keys by a dictionary of its own, adds its rows into dense arrays indexed
+by the code (numpy bincount / scatter-add), and emits them cut into blocks by a hash of the key, each with its piece of the dictionary. The arrays of a
+block are added up after their codes are mapped to the block's dictionary, in two levels (first within lanes of splits, then over the lanes). The
+table is read once, no dictionary reaches the driver, and a task's work depends on the bytes of its split and the number of keys, never on how often a key occurs.
 """
 
 from __future__ import annotations
@@ -15,17 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spliceframe.session import small_enough, staged
-
-BLOCK = 1024
-LOCAL_KEYS = 100_000
-
 
 def gene_key(c: str) -> Column:
     """Upper case without surrounding spaces; null where the name is null, empty or ``.``."""
@@ -37,8 +29,8 @@ def keyed_totals(df: DataFrame, key: Column, sums: dict[str, Column], max_keys:
     """One row per key: ``key``, ``n_rows``, and for each of ``sums`` its total ``name`` and the count ``n_name`` of values.
 
     key: string column; rows with a null key are left out. sums: integer (exact 64-bit totals) or double columns; null values
-    count as none, a key without any value has a null total. NaN and infinities follow IEEE. max_keys: size up to which
-    the dictionary is collected; beyond it local dictionaries are used, with the same result. An empty table gives no rows.
+    count as none, a key without any value has a null total. NaN and infinities follow IEEE. max_keys: keys at which a split's
+    arrays are emitted and begun anew, with the same result. The number of blocks is spark.sql.shuffle.partitions. An empty table gives no rows.
     Repeated rows count each; other columns of ``df`` are ignored, whatever their names.
     """
     names = list(sums)
@@ -46,12 +38,7 @@ def keyed_totals(df: DataFrame, key: Column, sums: dict[str, Column], max_keys:
     flat = flat.select("k", *(F.col(f"v{i}").cast("double" if _is_double(flat, f"v{i}") else "long").alias(f"v{i}") for i in range(len(names))))
     flat = flat.where(F.col("k").isNotNull())
     doubles = [_is_double(flat, f"v{i}") for i in range(len(names))]
-    keys = staged(flat.select("k").distinct(), "key-dictionary")
-    if small_enough(keys, max_keys):
-        dictionary = sorted(r[0] for r in keys.collect())
-        out = _dense(flat, dictionary, doubles)
-    else:
-        out = _local(flat, doubles)
+    out = _blocks(flat, doubles, max(1, max_keys))
     cols = [F.col("k").alias("key"), F.col("n").alias("n_rows")]
     for i, name in enumerate(names):
         cols += [F.when(F.col(f"n{i}") > 0, F.col(f"s{i}")).alias(name), F.col(f"n{i}").alias(f"n_{name}")]
@@ -85,79 +72,93 @@ def _fields(doubles: list[bool]) -> list[tuple[str, str]]:
     return [("n", "long")] + [x for i, d in enumerate(doubles) for x in ((f"n{i}", "long"), (f"s{i}", "double" if d else "long"))]
 
 
-def _dense(flat: DataFrame, dictionary: list[str], doubles: list[bool]) -> DataFrame:
+def _blocks(flat: DataFrame, doubles: list[bool], max_keys: int) -> DataFrame:
+    """(k, n, n0, s0, ...): one row per key."""
     splits = max(1, flat.rdd.getNumPartitions())
     lanes = max(1, int(splits**0.5)) if splits > 64 else 1
+    blocks = int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = _fields(doubles)
-    ddl = ", ".join(f"{n} array<{t}>" for n, t in fields)
+    ddl = "ks array<string>, " + ", ".join(f"{n} array<{t}>" for n, t in fields)
 
-    def emit(arrays: list[np.ndarray], lane: int) -> Iterator[pa.RecordBatch]:
-        for b in range(0, len(dictionary), BLOCK):
-            if arrays[0][b : b + BLOCK].any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([b // BLOCK], pa.int32()), "lane": pa.array([lane], pa.int32())} | {n: pa.array([a[b : b + BLOCK]]) for (n, _), a in zip(fields, arrays)})
+    def lists(keys: pa.Array, arrays: list[np.ndarray], cuts: np.ndarray) -> dict[str, pa.Array]:
+        offsets = pa.array(cuts, pa.int32())
+        return {"ks": pa.ListArray.from_arrays(offsets, keys)} | {n: pa.ListArray.from_arrays(offsets, pa.array(a)) for (n, _), a in zip(fields, arrays)}
 
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, arrays = pa.array(dictionary, pa.string()), _zeros(len(dictionary), doubles)
+        lane = TaskContext.get().partitionId() % lanes
+
+        def emit() -> pa.RecordBatch:
+            keys, arrays = totals.result()
+            block = (hash_array(np.array(keys, dtype=object), categorize=False) % blocks).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            block = block[order]
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            head = {"block": pa.array(block[cut], pa.int32()), "lane": pa.array(np.full(len(cut), lane), pa.int32())}
+            return pa.RecordBatch.from_pydict(head | lists(pa.array([keys[i] for i in order], pa.string()), [a[order] for a in arrays], np.append(cut, len(keys))))
+
+        totals = _Dense(doubles)
         for batch in batches:
-            codes = np.asarray(pc.index_in(batch.column(0), value_set=index))
-            _scatter(arrays, codes, batch.columns[1:], doubles)
-        yield from emit(arrays, TaskContext.get().partitionId() % lanes)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> tuple[int, list[np.ndarray]]:
-        block, arrays = -1, []
+            totals.add_rows(batch.column(0), batch.columns[1:])
+            if len(totals.codes) >= max_keys:
+                yield emit()
+                totals = _Dense(doubles)
+        if totals.codes:
+            yield emit()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> _Dense:
+        totals = _Dense(doubles)
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = [np.asarray(batch.column(n)[r].values) for n, _ in fields]
-                block = batch.column("block")[r].as_py()
-                arrays = [a + x for a, x in zip(arrays, row)] if arrays else row
-        return block, arrays
+            totals.add_arrays(batch.column("ks").flatten(), [np.asarray(batch.column(n).flatten()) for n, _ in fields])
+        return totals
 
     def within_lane(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, arrays = add(batches)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32())} | {n: pa.array([a]) for (n, _), a in zip(fields, arrays)})
+        keys, arrays = summed(batches).result()
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32())} | lists(pa.array(keys, pa.string()), arrays, np.array([0, len(keys)])))
 
     def to_rows(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, arrays = add(batches)
-        there = np.flatnonzero(arrays[0])
-        names = dictionary[block * BLOCK : (block + 1) * BLOCK]
-        yield pa.RecordBatch.from_pydict({"k": pa.array([names[i] for i in there], pa.string())} | {n: pa.array(a[there]) for (n, _), a in zip(fields, arrays)})
+        keys, arrays = summed(batches).result()
+        yield pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.string())} | {n: pa.array(a) for (n, _), a in zip(fields, arrays)})
 
     _typed(within_lane), _typed(to_rows)
-    blocks = flat.mapInArrow(accumulate, f"block int, lane int, {ddl}")
+    parts = flat.mapInArrow(accumulate, f"block int, lane int, {ddl}")
     if lanes > 1:
-        blocks = blocks.groupBy("block", "lane").applyInArrow(within_lane, f"block int, {ddl}")
-    return blocks.groupBy("block").applyInArrow(to_rows, "k string, " + ", ".join(f"{n} {t}" for n, t in fields))
+        parts = parts.groupBy("block", "lane").applyInArrow(within_lane, f"block int, {ddl}")
+    return parts.groupBy("block").applyInArrow(to_rows, "k string, " + ", ".join(f"{n} {t}" for n, t in fields))
 
 
-def _typed(f) -> None:
-    """Real types as annotations: Spark reads them to pick the iterator form of applyInArrow."""
-    f.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+class _Dense:
+    """Accumulators [rows, count 0, sum 0, count 1, sum 1, ...], dense by the codes of a dictionary that grows with the keys."""
 
+    def __init__(self, doubles: list[bool]):
+        self.doubles = doubles
+        self.codes: dict[str, int] = {}
+        self.arrays = _zeros(1024, doubles)
 
-def _local(flat: DataFrame, doubles: list[bool]) -> DataFrame:
-    fields = _fields(doubles)
+    def _coded(self, keys: pa.Array) -> np.ndarray:
+        local = keys.dictionary_encode()
+        to_code = np.array([self.codes.setdefault(k, len(self.codes)) for k in local.dictionary.to_pylist()], np.int64)
+        short = len(self.codes) - len(self.arrays[0])
+        if short > 0:
+            self.arrays = [np.concatenate([a, np.zeros(max(len(a), short), a.dtype)]) for a in self.arrays]
+        return to_code[np.asarray(local.indices)]
 
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            n = len(codes_of)
-            return pa.RecordBatch.from_pydict({"k": pa.array(list(codes_of), pa.string())} | {f: pa.array(a[:n]) for (f, _), a in zip(fields, arrays)})
+    def add_rows(self, keys: pa.Array, columns: list[pa.Array]) -> None:
+        if len(keys):
+            _scatter(self.arrays, self._coded(keys), columns, self.doubles)
 
-        codes_of: dict[str, int] = {}
-        arrays = _zeros(1024, doubles)
-        for batch in batches:
-            local = batch.column(0).dictionary_encode()
-            to_code = np.array([codes_of.setdefault(k, len(codes_of)) for k in local.dictionary.to_pylist()], np.int64)
-            if len(codes_of) > len(arrays[0]):
-                arrays = [np.concatenate([a, np.zeros(max(len(a), len(codes_of) - len(a)), a.dtype)]) for a in arrays]
-            _scatter(arrays, to_code[np.asarray(local.indices)], batch.columns[1:], doubles)
-            if len(codes_of) >= LOCAL_KEYS:
-                yield flush()
-                codes_of, arrays = {}, _zeros(1024, doubles)
-        if codes_of:
-            yield flush()
-
-    rows = flat.mapInArrow(accumulate, "k string, " + ", ".join(f"{n} {t}" for n, t in fields))
-    return rows.groupBy("k").agg(*(F.sum(n).alias(n) for n, _ in fields))
+    def add_arrays(self, keys: pa.Array, arrays: list[np.ndarray]) -> None:
+        if len(keys):
+            codes = self._coded(keys)
+            for own, more in zip(self.arrays, arrays):
+                np.add.at(own, codes, more)
+
+    def result(self) -> tuple[list[str], list[np.ndarray]]:
+        return list(self.codes), [a[: len(self.codes)] for a in self.arrays]
+
+
+def _typed(f) -> None:
+    """Real types as annotations: Spark reads them to pick the iterator form of applyInArrow."""
+    f.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
 
 
 def frequent_keys(totals: DataFrame, per_mille: int) -> DataFrame:

@@ -32,6 +32,13 @@ def test_many_splits_and_blocks_equal_groupby(spark):
     assert got == want
 
 
+def test_small_dictionaries_give_the_same(spark):
+    df = spark.range(0, 5000, numPartitions=3).select(F.concat(F.lit("ключ"), F.col("id") % 333).alias("k"), (F.col("id") / 2).alias("v"))
+    want = {r["k"]: (r["n"], r["s"]) for r in df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s")).collect()}
+    got = [(r["key"], (r["n_rows"], r["v"])) for r in kt.keyed_totals(df, F.col("k"), {"v": F.col("v")}, max_keys=10).collect()]
+    assert len(got) == 333 and dict(got) == want
+
+
 def test_frequent(spark):
     totals = spark.createDataFrame([("a", 98), ("b", 2), ("c", 1)], "key string, n_rows long")
     assert {r["key"] for r in kt.frequent_keys(totals.where("key <> 'c'"), 20).collect()} == {"a", "b"}
