@@ -45,12 +45,12 @@ def p1_transcript_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    broken = split_valid(table(spark, folder, "junc_raw"))[1]
+    broken = split_valid(table(spark, folder, "junc_raw"), keep=["raw_id"])[1]
     return broken.select("raw_id", F.col("parse_reason").alias("reason"))
 
 
 def p3_valid_rows(spark: SparkSession, folder: str) -> DataFrame:
-    valid = split_valid(table(spark, folder, "junc_raw"))[0]
+    valid = split_valid(table(spark, folder, "junc_raw"), keep=["raw_id", "file_name", "line_no"])[0]
     return valid.select("raw_id", "file_name", "line_no", "chrom", "chrom_start", "chrom_end", "score", "strand")
 
 
