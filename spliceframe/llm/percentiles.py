@@ -25,7 +25,7 @@ from spliceframe.session import BROADCAST_BYTES, discard, hinted, new_path, stag
 #: values that a task sorts at a time
 RUN = 1 << 20
 #: remaining values of a range that are gathered
-LEAST = 64
+LEAST = 16
 #: percentiles of a block of groups
 ASKS = 16_384
 #: splits of a lane
@@ -221,9 +221,29 @@ def _parts(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return run, begin, np.maximum(begin, end)
 
 
-def _message(batch: pa.RecordBatch, r: int, **lists: pa.Array) -> pa.RecordBatch:
-    head = {"block": pa.array([batch.column("block")[r].as_py()], pa.int64()), "lane": pa.array([batch.column("lane")[r].as_py()], pa.int32())}
-    return pa.RecordBatch.from_pydict(head | {c: pa.array([x], pa.list_(pa.int32() if c == "at" else pa.float64() if c in ("median", "value") else pa.int64())) for c, x in lists.items()})
+_MESSAGE = "block long, lane int, at binary, a binary, b binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs, or doubles, with the kind in front."""
+    x = x if x.dtype == np.float64 else x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return f"{x.dtype.kind}{x.dtype.itemsize}".encode() + x.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    values = np.frombuffer(x, x[:2].decode(), offset=2)
+    return values if values.dtype == np.float64 else values.astype(np.int64)
+
+
+def _message(block: int, lane: int, at: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """What a run says of the ranges ``at`` (ascending), which travel as their distances."""
+    lists = {"at": np.diff(at, prepend=0), "a": a} | ({} if b is None else {"b": b})
+    head = {"block": pa.array([block], pa.int64()), "lane": pa.array([lane], pa.int32())}
+    return pa.RecordBatch.from_pydict(head | {c: pa.array([_packed(lists[c]) if c in lists else None], pa.binary()) for c in ("at", "a", "b")})
+
+
+def _place(batch: pa.RecordBatch, r: int) -> tuple[int, int]:
+    return batch.column("block")[r].as_py(), batch.column("lane")[r].as_py()
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +253,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run, i, j = _parts(batch, r)
             at = np.flatnonzero(j > i)
             if len(at):
-                yield _message(batch, r, at=at, median=run[(i[at] + j[at] - 1) >> 1], weight=(j - i)[at])
+                yield _message(*_place(batch, r), at, run[(i[at] + j[at] - 1) >> 1], (j - i)[at])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +265,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(at):
                 pivot = _list(batch.column("pivot"), r)[at]
                 below = _bisect(run, i[at], j[at], pivot, False)
-                yield _message(batch, r, at=at, below=below - i[at], equal=_bisect(run, below, j[at], pivot, True) - below)
+                yield _message(*_place(batch, r), at, below - i[at], _bisect(run, below, j[at], pivot, True) - below)
 
 
 def _remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,16 +276,16 @@ def _remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = j - i
             if size.sum():
                 at = np.repeat(np.arange(len(i)), size)
-                yield _message(batch, r, at=at, value=run[np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + i[at]])
+                yield _message(*_place(batch, r), at, run[np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + i[at]])
 
 
-def _joined(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
-    """The lists of all rows of a block, joined."""
-    parts = [[np.asarray(b.column(n).combine_chunks().flatten() if isinstance(b.column(n), pa.ChunkedArray) else b.column(n).flatten()) for n in names] for b in batches]
+def _joined(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """(at, a, b) of all messages of a block, joined."""
+    parts = [(np.cumsum(_unpacked(at)), _unpacked(a), _unpacked(b) if b else np.zeros(0)) for batch in batches for at, a, b in zip(*(batch.column(c).to_pylist() for c in ("at", "a", "b")))]
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _pivots(at: np.ndarray, median: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+def _pivots(at: np.ndarray, median: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
     """The weighted median of the proposals for each range, and their weight."""
     order = np.lexsort((median, at))
     at, median, weight = at[order], median[order], weight[order]
@@ -273,30 +293,37 @@ def _pivots(at: np.ndarray, median: np.ndarray, weight: np.ndarray) -> dict[str,
     upto = np.cumsum(weight)
     before = upto[first] - weight[first]
     total = np.append(before[1:], upto[-1]) - before
-    return {"at": at[first], "median": median[np.searchsorted(upto, before + (total + 1) // 2)], "weight": total}
+    return at[first], median[np.searchsorted(upto, before + (total + 1) // 2)], total
 
 
-def _sums(at: np.ndarray, below: np.ndarray, equal: np.ndarray) -> dict[str, np.ndarray]:
+def _sums(at: np.ndarray, below: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.argsort(at, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
-    return {"at": at[order][first], "below": np.add.reduceat(below[order], first), "equal": np.add.reduceat(equal[order], first)}
+    return at[order][first], np.add.reduceat(below[order], first), np.add.reduceat(equal[order], first)
+
+
+def _values(at: np.ndarray, value: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((value, at))
+    return at[order], value[order]
 
 
 def _reduced(messages: DataFrame, lanes: int, merge: Callable, fields: dict[str, str]) -> DataFrame:
-    """(block, fields): the messages of a block merged within lanes, then over the lanes."""
-    names = list(fields)
-    kinds = {"array<int>": pa.int32(), "array<long>": pa.int64(), "array<double>": pa.float64()}
-    ddl = ", ".join(f"{n} {t}" for n, t in fields.items())
+    """(block, fields): the messages of a block merged within lanes, then over the lanes; every open range holds a value, so every range is in the result, in order."""
+    kinds = {"array<long>": pa.int64(), "array<double>": pa.float64()}
+
+    def within_lane(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _message(key[0].as_py(), key[1].as_py(), *merge(*_joined(batches)))
 
-    def within(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = merge(*_joined(batches, *names))
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int64())} | {n: pa.array([done[n]], pa.list_(kinds[t])) for n, t in fields.items()})
+    def whole(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = merge(*_joined(batches))
+        named = {"at": done[0]} | dict(zip([n for n in fields if n != "at"], done[1:]))
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int64())} | {n: pa.array([named[n]], pa.list_(kinds[t])) for n, t in fields.items()})
 
-    # real types: Spark reads them to pick the iterator form of applyInArrow
-    within.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    for f in (within_lane, whole):  # real types: Spark reads them to pick the iterator form of applyInArrow
+        f.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     if lanes > 1:
-        messages = messages.groupBy("block", "lane").applyInArrow(within, f"block long, {ddl}")
-    return messages.groupBy("block").applyInArrow(within, f"block long, {ddl}")
+        messages = messages.groupBy("block", "lane").applyInArrow(within_lane, _MESSAGE)
+    return messages.groupBy("block").applyInArrow(whole, "block long, " + ", ".join(f"{n} {t}" for n, t in fields.items()))
 
 
 def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,17 +354,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(number >= 0)
             if len(at):
                 of, value = _list(batch.column("at"), r), _list(batch.column("value"), r)
-                order = np.lexsort((value, of))
-                begin = np.searchsorted(of[order], number[at])
-                s["found"][at] = value[order][begin + s["k"][at] - 1]
+                s["found"][at] = value[np.searchsorted(of, number[at]) + s["k"][at] - 1]
             wanted = len(s["k"]) // len(s["gs"])
             found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(s["k"]) + 1, wanted), pa.int32()), pa.array(s["found"]))
             yield pa.RecordBatch.from_arrays([pa.array(s["gs"]), found, pa.array(s["took"], pa.int32())], ["g", "found", "rounds"])
 
 
 _FOUND = "g long, found array<double>, rounds int"
-_PROPOSALS = {"at": "array<int>", "median": "array<double>", "weight": "array<long>"}
-_COUNTS = {"at": "array<int>", "below": "array<long>", "equal": "array<long>"}
 
 
 def select_ranks(rows: DataFrame, groups: DataFrame, total: int, wanted: list[int]) -> DataFrame:
@@ -365,18 +388,18 @@ def _selected(runs: DataFrame, state: DataFrame, lanes: int) -> DataFrame:
     start = state
     while not state.where("open").isEmpty():
         asks = state.where("open").mapInArrow(_asks(False), "block long, ag array<long>, alo array<double>, ahi array<double>")
-        proposals = runs.join(F.broadcast(asks), "block").mapInArrow(_propose, "block long, lane int, at array<int>, median array<double>, weight array<long>")
-        pivots = _reduced(proposals, lanes, _pivots, _PROPOSALS)  # every open range holds a value, so at is 0, 1, 2, ...
-        aimed = staged(asks.join(pivots, "block").select("block", "ag", "alo", "ahi", F.col("median").alias("pivot")), "pivots")
-        counted = runs.join(F.broadcast(aimed), "block").mapInArrow(_count, "block long, lane int, at array<int>, below array<long>, equal array<long>")
-        counts = _reduced(counted, lanes, _sums, _COUNTS).select("block", "below", "equal")
+        proposals = runs.join(F.broadcast(asks), "block").mapInArrow(_propose, _MESSAGE)
+        pivots = _reduced(proposals, lanes, _pivots, {"pivot": "array<double>"})
+        aimed = staged(asks.join(pivots, "block"), "pivots")
+        counted = runs.join(F.broadcast(aimed), "block").mapInArrow(_count, _MESSAGE)
+        counts = _reduced(counted, lanes, _sums, {"below": "array<long>", "equal": "array<long>"})
         moved = state.where("open").join(aimed.select("block", "pivot"), "block").join(counts, "block").mapInArrow(_advance, _STATE)
         after = staged(state.where(~F.col("open")).unionByName(moved), "state")
         discard(aimed, *([state] if state is not start else []))
         state = after
     asks = state.mapInArrow(_asks(True), "block long, ag array<long>, alo array<double>, ahi array<double>")
-    parts = runs.join(F.broadcast(asks), "block").mapInArrow(_remain, "block long, lane int, at array<int>, value array<double>")
-    left = _reduced(parts, 1, lambda at, value: {"at": at, "value": value}, {"at": "array<int>", "value": "array<double>"})
+    parts = runs.join(F.broadcast(asks), "block").mapInArrow(_remain, _MESSAGE)
+    left = _reduced(parts, 1, _values, {"at": "array<long>", "value": "array<double>"})
     return state.join(left, "block", "left").mapInArrow(_finish, _FOUND)
 
 
