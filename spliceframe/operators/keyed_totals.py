@@ -144,7 +144,8 @@ class _Dense:
 
     def add_rows(self, keys: pa.Array, columns: list[pa.Array]) -> None:
         if len(keys):
-            _scatter(self.arrays, self._coded(keys), columns, self.doubles)
+            codes = self._coded(keys)  # before the arrays are named: it may grow them
+            _scatter(self.arrays, codes, columns, self.doubles)
 
     def add_arrays(self, keys: pa.Array, arrays: list[np.ndarray]) -> None:
         if len(keys):

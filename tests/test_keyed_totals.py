@@ -39,6 +39,12 @@ def test_small_dictionaries_give_the_same(spark):
     assert len(got) == 333 and dict(got) == want
 
 
+def test_a_split_with_many_keys(spark):
+    df = spark.range(0, 9000, numPartitions=1).select((F.col("id") % 4000).cast("string").alias("k"))
+    got = {r["key"]: r["n_rows"] for r in kt.keyed_totals(df, F.col("k"), {}).collect()}
+    assert len(got) == 4000 and sum(got.values()) == 9000 and set(got.values()) == {2, 3}
+
+
 def test_frequent(spark):
     totals = spark.createDataFrame([("a", 98), ("b", 2), ("c", 1)], "key string, n_rows long")
     assert {r["key"] for r in kt.frequent_keys(totals.where("key <> 'c'"), 20).collect()} == {"a", "b"}
