@@ -42,6 +42,48 @@ def test_a_mismatch_leaves_the_old_folder(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(path).count() == 1
 
 
+ONE = "sample_id string, rec_no long, score int, written_at long"
+
+
+@pytest.mark.parametrize("crash", ["reconciled", "moved away", "moved in"])
+def test_a_crash_during_the_swap(spark, tmp_path, crash):
+    path = f"{tmp_path}/store"
+    spark.createDataFrame([("s", 1, 5, 1), ("s", 1, 6, 2)], ONE).write.parquet(path)
+    done = cp.compact(spark.read.parquet(path), f"{tmp_path}/other", ["sample_id", "rec_no"], "written_at")
+    os.rename(done.path, f"{path}.staging")
+    if crash != "reconciled":
+        os.rename(path, f"{path}.old")
+    if crash == "moved in":
+        os.rename(f"{path}.staging", path)
+    assert cp.recovered(spark, path) == ("finished" if crash == "moved away" else "cleared")
+    assert sorted(os.listdir(tmp_path)) == ["store"] and spark.read.parquet(path).count() == (2 if crash == "reconciled" else 1)
+
+
+def test_a_crash_before_the_new_folder_is_whole(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    spark.createDataFrame([("s", 1, 5, 1)], ONE).write.parquet(f"{path}.old")
+    spark.createDataFrame([], ONE).write.parquet(f"{path}.staging")
+    assert cp.recovered(spark, path) == "undone" and os.listdir(tmp_path) == ["store"]
+    assert spark.read.parquet(path).count() == 1 and cp.recovered(spark, path) == "nothing"
+
+
+@pytest.mark.parametrize("column", ["score", "written_at", "sample_id"])
+def test_a_changed_value_is_noticed(spark, tmp_path, monkeypatch, column):
+    real = cp.reconciled
+
+    def changed(spark, staging, *a):
+        rows = spark.read.parquet(staging).collect()
+        kinds = spark.read.parquet(staging).schema
+        wrong = [tuple((x if c != column else None) for c, x in zip(kinds.names, r)) for r in rows]
+        spark.createDataFrame(wrong, kinds).write.mode("overwrite").parquet(staging)
+        return real(spark, staging, *a)
+
+    monkeypatch.setattr(cp, "reconciled", changed)
+    with pytest.raises(RuntimeError):
+        cp.compact(spark.createDataFrame([("s", 1, 5, 1), ("t", 2, 5, 1)], ONE), f"{tmp_path}/store", ["sample_id", "rec_no"], "written_at")
+    assert not os.path.exists(f"{tmp_path}/store")
+
+
 def test_tiny_junc_files(spark, tmp_path):
     parts = table(spark, "/root/testdata/sf0.001", "junc_parts").where("sample_id = 'SMP0001'").limit(400)
     lines = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sample_id", "rec_no", "chrom", "chrom_start", "chrom_end", "score", "strand", "written_at")))
