@@ -46,7 +46,7 @@ def _plain(column: str) -> Column:
 
 
 def _is_record(line: Column) -> Column:
-    return line.isNotNull() & ~line.rlike(r"\A *\z") & ~line.startswith("#") & (line != HEADER)
+    return line.isNotNull() & (F.trim(line) != "") & ~line.startswith("#") & (line != HEADER)
 
 
 def _escaped(c: Column) -> Column:
@@ -80,7 +80,8 @@ def _fields(line: Column) -> tuple[Column, Column]:
 def parsed_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:
     """Lines of ``df`` that should hold a record, with ``structure`` (null, ``quoting`` or ``column_count``) and the five checked
     fields as trimmed text (null where the structure fails)."""
-    text = F.regexp_replace(F.col(line), r"\r\z", "")
+    raw = F.col(line)
+    text = F.when(raw.endswith("\r"), F.left(raw, F.length(raw) - 1)).otherwise(raw)
     lines = df.withColumn("_line", text).where(_is_record(F.col("_line")))
     sound, fields = _fields(F.col("_line"))
     lines = lines.withColumn("_fields", F.when(sound, fields))
