@@ -10,6 +10,7 @@ from spliceframe.operators.keyed_totals import frequent_keys, gene_key, keyed_to
 from spliceframe.operators.parse_errors import split_valid
 from spliceframe.plans import junction_queries
 from spliceframe.session import new_path, staged
+from spliceframe.sources.small_files import read_small_files, write_small_files
 from spliceframe.sources.tables import table
 
 #: Bytes of rows as text per compacted file; Parquet takes about a quarter.
@@ -67,5 +68,26 @@ def p4_compacted(spark: SparkSession, folder: str) -> DataFrame:
     return _compacted(spark, folder).select("sample_id", "rec_no", "chrom", "chrom_start", "chrom_end", "score", "strand", "n_copies")
 
 
+#: the columns of a tiny file of the store, with their types in it (times as microseconds)
+PARTS = {"sample_id": "string", "rec_no": "long", "chrom": "string", "chrom_start": "int", "chrom_end": "int", "score": "int", "strand": "string", "written_at": "long"}
+
+
+def tiny_store(parts: DataFrame, path: str) -> DataFrame:
+    """Writes ``parts`` as a store of tiny text files, one for each file_name, and gives the store as it is read from them (null for an empty field)."""
+    micros = {"written_at": F.unix_micros("written_at")}
+    text = F.concat_ws("\t", *(F.coalesce(micros.get(c, F.col(c)).cast("string"), F.lit("")) for c in PARTS))
+    write_small_files(parts.select("file_name", text.alias("value")), path)
+    field = F.split("value", "\t")
+    fields = [F.when(field[i] != "", field[i]).cast(t).alias(c) for i, (c, t) in enumerate(PARTS.items())]
+    return read_small_files(parts.sparkSession, path).select("file_name", *fields).withColumn("written_at", F.timestamp_micros("written_at"))
+
+
+def p4_tiny_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The store written out as one small text file for each file_name, read from these files and consolidated."""
+    store = staged(tiny_store(table(spark, folder, "junc_parts"), new_path(spark, "tiny")), "store")  # each file is opened once
+    done = compact(store, new_path(spark, "compacted"), ["sample_id", "rec_no"], "written_at", COMPACT_BYTES)
+    return spark.read.parquet(done.path).select("sample_id", "rec_no", "chrom", "chrom_start", "chrom_end", "score", "strand", "n_copies")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_gene_junc_totals, p1_transcript_totals, p3_found, p3_valid_rows, p4_found, p4_compacted)} | junction_queries.queries()
+    return {f.__name__: f for f in (p1_found, p1_gene_junc_totals, p1_transcript_totals, p3_found, p3_valid_rows, p4_found, p4_compacted, p4_tiny_files)} | junction_queries.queries()

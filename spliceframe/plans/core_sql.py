@@ -55,4 +55,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_valid_rows": _P3 + "SELECT raw_id, file_name, line_no, f[1] AS chrom, CAST(f[2] AS INT) AS chrom_start, CAST(f[3] AS INT) AS chrom_end, CAST(f[5] AS INT) AS score, f[6] AS strand FROM c WHERE reason IS NULL",
         "p4_found": "SELECT sample_id, rec_no FROM junc_parts GROUP BY ALL HAVING count(*) > 1",
         "p4_compacted": P4_COMPACTED,
+        "p4_tiny_files": P4_COMPACTED,
     } | junction_sql.oracle_sql()

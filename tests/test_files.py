@@ -1,8 +1,11 @@
+import os
+
 import gzip
 
 from pyspark.sql import functions as F
 
 from spliceframe.operators import reads as rd
+from spliceframe.sources import small_files
 from spliceframe.sources import readers, writers
 from spliceframe.streaming import junction_stream as js
 
@@ -75,3 +78,16 @@ def test_sums_keep_the_order_of_the_regions(spark, tmp_path):
     assert "".join(p.read_text() for p in parts) == "2\t5\t9\t3\n1\t1\t4\t7\n2\t0\t3\t0\n"
     writers.write_region_sums(sums, regions, f"{tmp_path}/sums", coordinates=False)
     assert "".join(p.read_text() for p in sorted((tmp_path / "sums").glob("part-*"))) == "3\n7\n0\n"
+
+
+def test_small_files_come_back_whole(spark, tmp_path):
+    rows = [("a/1.junc", "x"), ("a/1.junc", "y\tz"), ("b.junc", "ключ"), (None, "lost"), ("b.junc", None)] + [(f"d/{i}.junc", f"v{i}") for i in range(300)]
+    small_files.write_small_files(spark.createDataFrame(rows, "file_name string, value string").repartition(4), f"{tmp_path}/store")
+    got = sorted((r["file_name"], r["value"]) for r in small_files.read_small_files(spark, f"file://{tmp_path}/store").collect())
+    assert got == sorted(r for r in rows if None not in r)
+    assert sum(len(f) for _, _, f in os.walk(tmp_path)) == 302
+
+
+def test_no_small_files(spark, tmp_path):
+    small_files.write_small_files(spark.createDataFrame([], "file_name string, value string"), f"{tmp_path}/store")
+    assert small_files.read_small_files(spark, f"{tmp_path}/store").count() == 0
