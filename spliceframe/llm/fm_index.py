@@ -43,20 +43,31 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def build(symbols: np.ndarray, sigma: int) -> FMIndex:
-    """The index of a text whose documents each end with 0."""
+def kept(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is stored of the index of a text whose documents each end with 0: the last column, a bit for each marked suffix, and the places of those."""
     order = suffix_order(symbols)
     last = symbols[order - 1].astype(np.int32)  # the first document's start is preceded by the last end
-    first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
+    starts = np.concatenate([[True], symbols[:-1] == 0]) if len(symbols) else np.zeros(0, bool)
+    sampled = (order % SAMPLE == 0) | starts[order]
+    return last, np.packbits(sampled), order[sampled].astype(np.int32)
+
+
+def opened(last: np.ndarray, bits: np.ndarray, places: np.ndarray, sigma: int) -> FMIndex:
+    """The index with its ranks, from what is stored of it."""
+    first = np.concatenate([[0], np.cumsum(np.bincount(last, minlength=sigma))])
     ranks, zeros, level = [], [], last
     for bit in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
         ones = (level >> bit) & 1
         ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.int32))
         zeros.append(len(level) - int(ranks[-1][-1]))
         level = np.concatenate([level[ones == 0], level[ones == 1]])
-    starts = np.concatenate([[True], symbols[:-1] == 0]) if len(symbols) else np.zeros(0, bool)
-    sampled = (order % SAMPLE == 0) | starts[order]
-    return FMIndex(first, last, ranks, zeros, np.concatenate([[0], np.cumsum(sampled)]), order[sampled])
+    sampled = np.unpackbits(bits, count=len(last))
+    return FMIndex(first, last, ranks, zeros, np.concatenate([[0], np.cumsum(sampled, dtype=np.int64)]), places)
+
+
+def build(symbols: np.ndarray, sigma: int) -> FMIndex:
+    """The index of a text whose documents each end with 0."""
+    return opened(*kept(symbols), sigma)
 
 
 def _descend(index: FMIndex, symbols: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:

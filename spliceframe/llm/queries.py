@@ -106,6 +106,11 @@ def p7_spans(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p7_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans with their place in the text in characters, for cutting them out."""
+    return leakage.leaked_places(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return normalize.same_looking_pairs(table(spark, folder, "documents"))
 
@@ -116,5 +121,5 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_found, p2_percentiles, p2_combined_days, p2_day_errors, p5_found, p5_pairs, p5_all_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p8_found, p8_forms)
+    own = (p2_found, p2_percentiles, p2_combined_days, p2_day_errors, p5_found, p5_pairs, p5_all_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p7_places, p8_found, p8_forms)
     return {f.__name__: f for f in own}

@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from spliceframe.llm import leakage as lk
 
@@ -63,3 +66,41 @@ def test_empty(spark):
     i = spark.createDataFrame([(7, "a b")], "item_id long, item_text string")
     assert lk.leaked(d.limit(0), i).collect() == [] and lk.leaked(d, i.limit(0)).collect() == []
     assert lk.leaked(d, i).count() == 1
+
+
+def test_places_cut_the_span_out(spark):
+    text = " ".join(f"wörd{k}" for k in range(15))
+    raw = "Yes [quote=a]" + text.replace("wörd3", "W<b>ö</b>RD3").replace("wörd4", "wö​rd4").replace("wörd5", "w&ouml;rd5").replace(" wörd7", "&nbsp;\n[i]wörd7[/i]") + "[/quote] no"
+    raw = raw.replace("W<b>ö</b>RD3", "WÖRD3")
+    d = spark.createDataFrame([(1, raw), (1, raw), (1, "x"), (2, "a " + text)], "doc_id long, text string")
+    i = spark.createDataFrame([(7, text)], "item_id long, item_text string")
+    got = {r["doc_id"]: r for r in lk.leaked_places(d, i).collect()}
+    assert got[1]["first_word"] == 1 and raw[: got[1]["begin_char"]] == "Yes [quote=a]" and raw[got[1]["end_char"] :] == "[/quote] no"
+    assert (got[2]["begin_char"], got[2]["end_char"]) == (2, 2 + len(text)) and len(got) == 2
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aAе́​ <>[]/b&;=*ﬁ")), max_size=30))
+def test_as_many_places_as_words(text):
+    places, words = lk.word_places(text), lk.words_of([text])[0]
+    assert len(places) in (0, len(words))
+    for (begin, end), word in zip(places, words):
+        assert begin < end and (not text[begin:end].isascii() or not text[begin:end].isalnum() or text[begin:end].lower() == word)
+    if text.isascii() and "&" not in text:
+        assert len(places) == len(words)
+
+
+def test_tags():
+    words = lambda t: lk.words_of([t])[0]
+    assert words("a [center]b[/center] [email=x@y]c[/email] [table]d [li]e [*]f") == list("abcdef")
+    assert words("[deleted] [own]x[/own] [sic] [b]") == ["deleted", "x", "sic"]
+
+
+def test_a_large_item_block_is_small_on_the_driver():
+    import pickle
+
+    items = [(i, [f"w{(i * 7919 + k) % 5000}" for k in range(300)]) for i in range(1000)]
+    block = lk._Phrases(items)
+    assert len(pickle.dumps(block)) < 2_000_000
+    (matrix, begin, held) = block.by_length()[0]
+    assert matrix.shape[1] == 13 and begin[-1] == len(held) and len(np.unique(matrix, axis=0)) == len(matrix)
