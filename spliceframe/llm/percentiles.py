@@ -390,10 +390,10 @@ def _selected(runs: DataFrame, state: DataFrame, lanes: int) -> DataFrame:
         asks = state.where("open").mapInArrow(_asks(False), "block long, ag array<long>, alo array<double>, ahi array<double>")
         proposals = runs.join(F.broadcast(asks), "block").mapInArrow(_propose, _MESSAGE)
         pivots = _reduced(proposals, lanes, _pivots, {"pivot": "array<double>"})
-        aimed = staged(asks.join(pivots, "block"), "pivots")
+        aimed = staged(asks.join(F.broadcast(pivots), "block"), "pivots")
         counted = runs.join(F.broadcast(aimed), "block").mapInArrow(_count, _MESSAGE)
         counts = _reduced(counted, lanes, _sums, {"below": "array<long>", "equal": "array<long>"})
-        moved = state.where("open").join(aimed.select("block", "pivot"), "block").join(counts, "block").mapInArrow(_advance, _STATE)
+        moved = state.where("open").join(F.broadcast(aimed.select("block", "pivot")), "block").join(F.broadcast(counts), "block").mapInArrow(_advance, _STATE)
         after = staged(state.where(~F.col("open")).unionByName(moved), "state")
         discard(aimed, *([state] if state is not start else []))
         state = after
