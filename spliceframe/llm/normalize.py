@@ -21,18 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from spliceframe.session import staged
-
-# Letters that look alike in upright type, by script.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХӀԚԜаеѕіјорсухһԁԛԝӏ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXIQWaesijopcyxhdqwl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
-GREEK_AS = "ABEZHIKMNOPTYXocj"
+from spliceframe.session import discard, staged
+
+# Letters that look like a Latin letter of their case in upright type, by script. Letters of one script that look like the same Latin letter
+# are told apart, as they are different letters, so only the nearest has it (I for both the letters and the palochka).
+CYRILLIC = "АВЕЅІЈКМНОРСТУХӀԌԚԜѴаеѕіјорсухһԁԛԝӏѵ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXIGQWVaesijopcyxhdqwlv"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυϲϳ"
+GREEK_AS = "ABEZHIKMNOPTYXaivopucj"
 # Default-ignorable characters that aren't format characters (Cf), and format characters that are visible.
 IGNORABLE_TOO = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
 VISIBLE_FORMAT = ((0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x0890, 0x0891), (0x08E2, 0x08E2), (0xFFF9, 0xFFFB), (0x110BD, 0x110CD), (0x13430, 0x1343F))
 
 CHUNK = 1_000_000
+#: documents of a list, and lists of a block, when documents are paired
+LIST = 1_000
+BLOCK = 32
 
 
 def _ignorable() -> str:
@@ -139,19 +143,29 @@ def looks(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     return rows.mapInArrow(digests, "doc_id long, form binary, stored binary")
 
 
+def _lists(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """(form, stored, docs): the documents of a stored text in lists of at most ``LIST``, one or more a task, of the forms that several stored texts share."""
+    gathered = looks(df, doc, text).withColumn("task", F.spark_partition_id()).groupBy("form", "stored", "task").agg(F.collect_list("doc_id").alias("docs"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("docs") - 1) / LIST).cast("int")), lambda i: F.slice("docs", i * LIST + 1, LIST))
+    lists = staged(gathered.select("form", "stored", F.explode(cut).alias("docs")), "lists")
+    several = lists.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where(F.col("lo") != F.col("hi"))
+    kept = staged(lists.join(several.select("form", "blocks"), "form"), "lists")
+    discard(lists)
+    return kept
+
+
 def same_looking_pairs(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents of equal form and different stored text, each pair once.
 
-    Documents of one stored text are first gathered into lists, one a task and text; only forms with several stored texts go on. Lists of
-    different texts of a form are paired and spread over all tasks before they are expanded, so copies of one text never meet each
-    other and no task expands a whole form. Rows with a null doc_id or text are left out.
+    Documents of one stored text are first gathered into short lists; only forms with several stored texts go on. The lists of a form are dealt to blocks of about
+    ``BLOCK``, and each pair of blocks is a task's work of its own, so that neither the pairs of lists nor those of documents of a frequent form arise in
+    one task; copies of one text never meet each other. Rows with a null doc_id or text are left out.
     """
-    lists = looks(df, doc, text).withColumn("task", F.spark_partition_id()).groupBy("form", "stored", "task").agg(F.collect_list("doc_id").alias("docs"))
-    lists = staged(lists, "lists")
-    several = lists.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where(F.col("lo") != F.col("hi")).select("form")
-    lists = staged(lists.join(several, "form", "left_semi"), "lists")
-    a = lists.select("form", F.col("stored").alias("a"), F.col("task").alias("task_a"), F.col("docs").alias("docs_a"))
-    b = lists.select("form", F.col("stored").alias("b"), F.col("task").alias("task_b"), F.col("docs").alias("docs_b"))
-    met = a.join(b, "form").where(F.col("a") < F.col("b")).repartition("a", "b", "task_a", "task_b")
+    lists = _lists(df, doc, text).withColumn("block", F.pmod(F.xxhash64("stored", "docs"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    spread = lists.select("form", "stored", "docs", "block", F.explode(cells).alias("c")).select("*", "c.i", "c.j").drop("c")
+    a = spread.select("form", "i", "j", F.col("stored").alias("a"), F.col("block").alias("block_a"), F.col("docs").alias("docs_a"))
+    b = spread.select("form", "i", "j", F.col("stored").alias("b"), F.col("block").alias("block_b"), F.col("docs").alias("docs_b"))
+    met = a.join(b, ["form", "i", "j"]).where((F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("block_a") != F.col("block_b"))))
     pairs = met.select(F.explode("docs_a").alias("x"), "docs_b").select("x", F.explode("docs_b").alias("y")).where(F.col("x") != F.col("y"))
     return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()

@@ -53,3 +53,18 @@ def test_pairs(spark):
     got = sorted(tuple(r) for r in nm.same_looking_pairs(df).collect())
     assert got == [(1, 2), (1, 3), (1, 10), (2, 10), (3, 10), (5, 6), (8, 9)]
     assert nm.same_looking_pairs(df.limit(0)).collect() == []
+
+
+def test_a_frequent_form_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nm, "LIST", 2)
+    monkeypatch.setattr(nm, "BLOCK", 3)
+    variants = ["abc", "ａbc", "аbc", "a\u200bbc", "abc ", "αbc"]
+    rows = [(i, variants[i % 6]) for i in range(60)] + [(100 + i, "other") for i in range(5)]
+    got = sorted(tuple(r) for r in nm.same_looking_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 6 != j % 6]
+
+
+def test_letters_of_one_script_stay_apart():
+    for letters, alike in ((nm.CYRILLIC, nm.CYRILLIC_AS), (nm.GREEK, nm.GREEK_AS)):
+        assert len(letters) == len(alike) == len(set(letters)) and len(set(alike)) >= len(alike) - 1
+    assert form("αινου")[0] == "aivou" and form("νο")[0] != form("νσ")[0]
