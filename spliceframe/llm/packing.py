@@ -1,10 +1,10 @@
 """Documents into containers of a fixed number of tokens, with a certified number of containers.
 
-Documents are dealt to partitions of at most about ``PART_ITEMS`` pieces; each partition runs best-fit decreasing and is certified if
+Documents are dealt to partitions, as many as run at once but of at most about ``PART_ITEMS`` pieces; each partition runs best-fit decreasing and is certified if
 its number of containers equals a lower bound from dual feasible functions. Partitions with a gap give the pieces of their containers
 that aren't full (certified ones those of their emptiest container) to an exchange, where they are dealt anew to fewer partitions and
-packed again; a result is taken if it needs no more containers. This repeats until the total equals the bound over all pieces or two
-rounds bring nothing. Only a table of sizes (at most capacity + 1 rows) and totals reach the driver.
+packed again; a result is taken if it needs no more containers. This repeats until the total equals the bound over all pieces, or ``PATIENCE`` deals in a row
+save no container; the gap that is left then is in the result. Only a table of sizes (at most capacity + 1 rows) and totals reach the driver.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from spliceframe.session import staged
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the tokenizer of that file cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: pieces of a partition at most, and at least where there are enough
 PART_ITEMS = 25_000
-MAX_ROUNDS = 6
+LEAST_ITEMS = 500
+#: deals in a row without a gain after which the exchange ends
+PATIENCE = 3
 
 
 @cache
@@ -102,12 +105,18 @@ def containers_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> in
 
 @dataclass(frozen=True)
 class Packing:
-    """rows: doc_id, part_no, parts, size, container_id; containers used and the lower bound over all pieces."""
+    """rows: doc_id, part_no, parts, size, container_id; containers used and the lower bound over all pieces, equal unless the exchange ended without
+    a gain; certificates: (round, part, pieces, containers, bound) of every partition packed in any round."""
 
     rows: DataFrame
     containers: int
     bound: int
     rounds: int
+    certificates: DataFrame
+
+    @property
+    def gap(self) -> int:
+        return self.containers - self.bound
 
 
 def pieces_of(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -131,13 +140,15 @@ def _packed(pieces: DataFrame, capacity: int, parts: int, round_no: int) -> Data
         fill = np.bincount(bin_, weights=size).astype(np.int64)
         emptiest = int(fill.argmin())
         values, counts = np.unique(size, return_counts=True)
-        gap = len(fill) > containers_bound(values, counts, capacity)
+        bound = containers_bound(values, counts, capacity)
+        gap = len(fill) > bound
+        pdf["bound"] = bound
         pdf["bin"] = bin_
         pdf["gives"] = (fill[bin_] < capacity) & (gap | (bin_ == emptiest))
         return pdf
 
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("piece", F.lit(round_no)), F.lit(parts)).cast("int"))
-    return dealt.groupBy("part").applyInPandas(pack, "piece long, doc_id long, part_no long, parts long, size long, part int, bin int, gives boolean")
+    return dealt.groupBy("part").applyInPandas(pack, "piece long, doc_id long, part_no long, parts long, size long, part int, bound int, bin int, gives boolean")
 
 
 def _container(round_no: int) -> Column:
@@ -148,6 +159,15 @@ def _bins(packed: DataFrame) -> int:
     return packed.select("part", "bin").distinct().count()
 
 
+def _certificates(packed: DataFrame, round_no: int) -> DataFrame:
+    """A row per partition; containers are numbered from 0 without gaps."""
+    return packed.groupBy("part").agg(F.count(F.lit(1)).alias("pieces"), (F.max("bin") + 1).alias("containers"), F.max("bound").alias("bound")).select(F.lit(round_no).alias("round"), "*")
+
+
+def _parts(pieces: int, cores: int) -> int:
+    return max(1, -(-pieces // PART_ITEMS), min(cores, pieces // LEAST_ITEMS))
+
+
 def pack(sizes: DataFrame, capacity: int = 2048) -> Packing:
     """Assigns every document of (doc_id, size) to containers: only one above the capacity is split. Repeated rows are documents of their own;
     empty documents lie in some container; an empty table needs none."""
@@ -155,15 +175,18 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> Packing:
     values, counts = _histogram(pieces)
     n, bound = int(counts.sum()), containers_bound(values, counts, capacity)
     columns = ("doc_id", "part_no", "parts", "size")
-    current = staged(_packed(pieces, capacity, max(1, -(-n // PART_ITEMS)), 0), "packed")
+    cores = sizes.sparkSession.sparkContext.defaultParallelism
+    current = staged(_packed(pieces, capacity, _parts(n, cores), 0), "packed")
     total = _bins(current)
+    certificates = _certificates(current, 0)
     settled, rounds, last, idle = [], 0, 0, 0
-    while total > bound and rounds < MAX_ROUNDS and idle < 2:
+    while total > bound and idle < PATIENCE:
         given = current.where("gives")
         released, before = given.count(), _bins(given)
         rounds += 1
         again = staged(_packed(given.select("piece", *columns), capacity, max(1, -(-released // PART_ITEMS)), rounds), "packed")
         after = _bins(again)
+        certificates = certificates.unionByName(_certificates(again, rounds))
         idle = 0 if after < before else idle + 1
         if after <= before:
             settled.append(current.where(~F.col("gives")).select(*columns, _container(last).alias("container_id")))
@@ -171,4 +194,4 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> Packing:
     rows = current.select(*columns, _container(last).alias("container_id"))
     for part in settled:
         rows = rows.unionByName(part)
-    return Packing(rows, total, bound, rounds)
+    return Packing(rows, total, bound, rounds, certificates)

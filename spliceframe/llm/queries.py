@@ -77,7 +77,9 @@ def p5_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packing(spark: SparkSession, folder: str) -> packing.Packing:
-    return packing.pack(packing.token_sizes(table(spark, folder, "documents")), CONTAINER_TOKENS)
+    """``spark.spliceframe.tokenizer`` names the vocabulary file, at one path on all machines, where it isn't the usual one."""
+    tokenizer = spark.conf.get("spark.spliceframe.tokenizer", packing.TOKENIZER)
+    return packing.pack(packing.token_sizes(table(spark, folder, "documents"), tokenizer=tokenizer), CONTAINER_TOKENS)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,6 +99,26 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return by.select("*", F.lit(done.containers).alias("all_containers"), F.lit(done.bound).alias("lower_bound"))
 
 
+def p6_certificates(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers and certified bound of every partition of every round."""
+    return _packing(spark, folder).certificates
+
+
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: documents packed, and how many break a rule: lost or cut anew (their pieces don't sum to their text), split below the limit, in two places;
+    containers above the capacity; whether the containers are within a hundredth of the bound."""
+    done = _packing(spark, folder)
+    texts = table(spark, folder, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
+    by_doc = done.rows.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("part_no").alias("numbers"), F.max("parts").alias("parts"))
+    j = texts.join(by_doc, "doc_id", "full")
+    lost = F.col("size").isNull() | F.col("n_bytes").isNull() | (F.col("size") > F.col("n_bytes")) | ((F.col("size") == 0) & (F.col("n_bytes") > 0)) | (F.col("pieces") != F.col("parts")) | (F.col("numbers") != F.col("parts"))
+    cut = (F.col("pieces") > 1) & (F.col("size") <= CONTAINER_TOKENS)
+    docs = j.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(lost).alias("lost"), F.count_if(cut).alias("cut_below_limit"))
+    full = done.rows.groupBy("container_id").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > CONTAINER_TOKENS).alias("above_capacity"))
+    within = done.containers * 100 <= done.bound * 101 + 100
+    return docs.select("*", F.lit(full.first()[0]).alias("above_capacity"), F.lit(within).alias("within_a_hundredth"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -121,5 +143,5 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_found, p2_percentiles, p2_combined_days, p2_day_errors, p5_found, p5_pairs, p5_all_pairs, p6_found, p6_containers, p6_fill, p7_found, p7_spans, p7_places, p8_found, p8_forms)
+    own = (p2_found, p2_percentiles, p2_combined_days, p2_day_errors, p5_found, p5_pairs, p5_all_pairs, p6_found, p6_containers, p6_fill, p6_certificates, p6_audit, p7_found, p7_spans, p7_places, p8_found, p8_forms)
     return {f.__name__: f for f in own}

@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _QUANTILES + "SELECT gene, sample_id FROM q WHERE p99 >= 40 * p50 OR p75 >= 20 * p25",
         "p2_percentiles": _QUANTILES + "SELECT gene, sample_id, n, p25, p50, p75, p90, p99 FROM q",
         "p2_day_errors": _QUANTILES + "SELECT gene, sample_id, n, true AS within FROM q",
+        "p6_audit": "SELECT count(*) AS n_docs, 0::BIGINT AS lost, 0::BIGINT AS cut_below_limit, 0::BIGINT AS above_capacity, true AS within_a_hundredth FROM documents",
         "p5_found": _PAIRS + "SELECT bam_file, a_start, a_end, b_start, b_end FROM p WHERE n_ab >= 20 AND n_ab * n >= 4 * n_a * n_b",
         "p5_pairs": _PAIRS + """SELECT bam_file, a_start, a_end, b_start, b_end, n_ab, n_a, n_b, n, floor(n_ab::DOUBLE * n::DOUBLE / (n_a::DOUBLE * n_b::DOUBLE) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS lift,
   CASE WHEN n_a > n_ab THEN floor((1 - n_b::DOUBLE / n::DOUBLE) / (1 - n_ab::DOUBLE / n_a::DOUBLE) * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE END AS conviction FROM p WHERE n_ab >= 2""",

@@ -78,3 +78,12 @@ def test_empty_and_sizes(spark):
     assert got[:4] == [(1, 0), (2, 0), (3, 3), (3, 3)] and got[4][0] == 4 and got[4][1] > 2048 and got[5][1] > 1
     packing = pk.pack(pk.token_sizes(df).limit(0))
     assert packing.containers == packing.bound == 0 and packing.rows.collect() == []
+
+
+def test_certificates_and_exit(spark, monkeypatch):
+    monkeypatch.setattr(pk, "PART_ITEMS", 10)
+    packing = pk.pack(spark.createDataFrame([(i, 34) for i in range(40)] + [(100 + i, 33) for i in range(2)], "doc_id long, size long"), 100)
+    rows = packing.certificates.collect()
+    assert {r["round"] for r in rows} == set(range(packing.rounds + 1)) and all(r["containers"] >= r["bound"] for r in rows)
+    assert sum(r["pieces"] for r in rows if r["round"] == 0) == 42
+    assert packing.gap == packing.containers - packing.bound >= 0
