@@ -1,6 +1,5 @@
-import os
-
 import gzip
+import os
 
 from pyspark.sql import functions as F
 
