@@ -219,22 +219,14 @@ def transcript_exons(spark: SparkSession, folder: str) -> DataFrame:
     return ex.transcript_exons(members)
 
 
-def _inferred(spark: SparkSession, folder: str, method: str, by_sample: bool = False) -> DataFrame:
+def _inferred(spark: SparkSession, folder: str, by_sample: bool = False) -> DataFrame:
     nodes = staged(_nodes(spark, folder), "nodes")
     matrix = gr.document_matrix(bridge.junctions(spark, folder), nodes)
-    return inf.inferred(matrix, nodes, gr.clique_numbers(nodes), method, by_sample=by_sample)
+    return inf.inferred(matrix, nodes, gr.clique_numbers(nodes), by_sample=by_sample)
 
 
 def infer_cavi(spark: SparkSession, folder: str) -> DataFrame:
-    return _inferred(spark, folder, "cavi")
-
-
-def infer_svi(spark: SparkSession, folder: str) -> DataFrame:
-    return _inferred(spark, folder, "svi")
-
-
-def infer_gibbs(spark: SparkSession, folder: str) -> DataFrame:
-    return _inferred(spark, folder, "gibbs")
+    return _inferred(spark, folder)
 
 
 def fragment_lengths(spark: SparkSession, folder: str) -> DataFrame:
@@ -306,7 +298,7 @@ def sample_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def expected_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return inf.sample_counts(_inferred(spark, folder, "cavi", by_sample=True))
+    return inf.sample_counts(_inferred(spark, folder, by_sample=True))
 
 
 def cluster_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -322,7 +314,7 @@ def unconflicted_exons(spark: SparkSession, folder: str) -> DataFrame:
 def inferred_exons(spark: SparkSession, folder: str) -> DataFrame:
     """Exons of the transcripts of the fitted genes, as GTF lines."""
     nodes = staged(_nodes(spark, folder), "nodes")
-    result = inf.inferred(gr.document_matrix(bridge.junctions(spark, folder), nodes), nodes, gr.clique_numbers(nodes), "cavi")
+    result = inf.inferred(gr.document_matrix(bridge.junctions(spark, folder), nodes), nodes, gr.clique_numbers(nodes))
     return ex.gtf_lines(ex.transcript_exons(rs.transcript_members(result, nodes)))
 
 
@@ -349,5 +341,5 @@ def listed_genes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (unconflicted_exons, inferred_exons, node_labels, zero_tiles, listed_genes, paired_chains, reference_edges, cluster_numbers, node_cover, sample_split, expected_counts, cluster_merge, fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi, infer_svi, infer_gibbs)
+    own = (unconflicted_exons, inferred_exons, node_labels, zero_tiles, listed_genes, paired_chains, reference_edges, cluster_numbers, node_cover, sample_split, expected_counts, cluster_merge, fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi)
     return {f.__name__: f for f in own}

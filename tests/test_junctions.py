@@ -116,34 +116,50 @@ def test_heaviest_sets(seed):
         assert all(e[i] <= s[j] or e[j] <= s[i] for i in at for j in at if i < j) and abs(row[at].sum() - best) < 1e-9
 
 
-@pytest.mark.parametrize("method", ["cavi", "svi", "gibbs"])
-def test_two_transcripts_come_apart(spark, method):
-    spans = {0: (1, 10), 1: (20, 30), 2: (5, 15), 3: (25, 40)}
-    nodes = spark.createDataFrame([("g", i, s, e) for i, (s, e) in spans.items()], "gene_id string, node_id int, jx_start int, jx_end int")
-    matrix = spark.createDataFrame([("g", f"s{d}", n, 60 if (n < 2) == (d % 2 == 0) else 2) for d in range(12) for n in spans], "gene_id string, sample_id string, node_id int, count long")
-    cliques = spark.createDataFrame([("g", 4, 2)], "gene_id string, nodes long, clique_number long")
-    rows = inf.inferred(matrix, nodes, cliques, method, 60).collect()
-    again = inf.inferred(matrix, nodes, cliques, method, 60).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+SPANS = {0: (1, 10), 1: (20, 30), 2: (5, 15), 3: (25, 40)}
+
+
+def _two_transcripts(spark, samples=12):
+    nodes = spark.createDataFrame([("g", i, s, e) for i, (s, e) in SPANS.items()], "gene_id string, node_id int, jx_start int, jx_end int")
+    matrix = spark.createDataFrame([("g", f"s{d}", n, 60 if (n < 2) == (d % 2 == 0) else 2) for d in range(samples) for n in SPANS], "gene_id string, sample_id string, node_id int, count long")
+    return matrix, nodes, spark.createDataFrame([("g", 4, 2), ("h", 3, 1)], "gene_id string, nodes long, clique_number long")
+
+
+@pytest.mark.parametrize("entries", [20_000, 8])
+def test_two_transcripts_come_apart(spark, monkeypatch, entries):
+    monkeypatch.setattr(inf, "ENTRIES", entries)
+    rows = inf.inferred(*_two_transcripts(spark)).collect()
+    again = inf.inferred(*_two_transcripts(spark)).collect()
+    assert [(r["k"], r["node_id"], r["member"], round(r["share"], 6)) for r in sorted(rows)] == [(r["k"], r["node_id"], r["member"], round(r["share"], 6)) for r in sorted(again)]
+    assert all(r["converged"] and r["iterations"] > 2 for r in rows)
     assert abs(sum(r["expected_count"] for r in rows) - 12 * 2 * 62) < 1e-6
     for k in (0, 1):
-        members = [spans[r["node_id"]] for r in rows if r["k"] == k and r["member"]]
+        members = [SPANS[r["node_id"]] for r in rows if r["k"] == k and r["member"]]
         assert all(a[1] <= b[0] or b[1] <= a[0] for i, a in enumerate(members) for b in members[i + 1 :])
     top = {k: {r["node_id"] for r in rows if r["k"] == k and r["share"] > 0.2} for k in (0, 1)}
-    assert method != "cavi" or sorted(map(sorted, top.values())) == [[0, 1], [2, 3]]
+    assert sorted(map(sorted, top.values())) == [[0, 1], [2, 3]]
+
+
+def test_blocks_give_what_one_block_gives(spark, monkeypatch):
+    shares = []
+    for entries in (20_000, 8):
+        monkeypatch.setattr(inf, "ENTRIES", entries)
+        shares.append({(r["k"], r["node_id"]): r["share"] for r in inf.inferred(*_two_transcripts(spark, 20), tolerance=1e-9).collect()})
+    assert shares[0].keys() == shares[1].keys() and all(abs(shares[0][x] - shares[1][x]) < 1e-3 for x in shares[0])
 
 
-def _mixture():
-    d, v = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(4), indexing="ij"))
-    return inf.Mixture(d, v, np.where((v < 2) == (d % 2 == 0), 60, 2), np.array([1, 20, 5, 25]), np.array([10, 30, 15, 40]), 2, 7)
+def test_counts_by_sample_sum_to_those_of_the_nodes(spark):
+    given = _two_transcripts(spark)
+    whole = {(r["k"], r["node_id"]): r["expected_count"] for r in inf.inferred(*given, tolerance=1e-9).collect()}
+    by = inf.inferred(*given, by_sample=True, tolerance=1e-9).groupBy("k", "node_id").agg(F.sum("expected_count").alias("c"), F.count_distinct("sample_id").alias("n")).collect()
+    assert all(abs(whole[r["k"], r["node_id"]] - r["c"]) < 0.1 for r in by) and max(r["n"] for r in by) == 12
 
 
-def test_fits_say_whether_they_settled():
-    assert _mixture().cavi(3) == (3, False) and _mixture().svi(3) == (3, False)
-    for method in ("cavi", "svi"):
-        done, converged = getattr(_mixture(), method)(inf.SWEEPS)
-        assert converged and 20 < done < inf.SWEEPS
-    assert _mixture().gibbs(6) == (6, None)
+def test_fits_say_whether_they_settled(spark):
+    rows = inf.inferred(*_two_transcripts(spark), iterations=2).collect()
+    assert {(r["iterations"], r["converged"]) for r in rows} == {(2, False)}
+    matrix, nodes, cliques = _two_transcripts(spark)
+    assert inf.inferred(matrix.limit(0), nodes, cliques).collect() == []
 
 
 def test_queries_fit_to_the_tolerance(spark):
