@@ -65,6 +65,23 @@ def within_tolerance(rows: DataFrame, reference: DataFrame, bases: int = 12) ->
     return hit
 
 
+def tolerance_scores(configs: DataFrame, reference: DataFrame, bases: int = 12) -> DataFrame:
+    """(config, score): of the nodes of a config (config, chrom, jx_start, jx_end), each distinct one once, the share that the best single transcript of the reference
+    (transcript_id, chrom, jx_start, jx_end) matches with both ends within ``bases``; 0 without any match."""
+    width = bases + 1
+    bin_ = F.floor(F.col("jx_start") / width)
+    nodes = configs.select("config", "chrom", "jx_start", "jx_end").distinct()
+    near = F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("_bin")
+    ref = reference.select("transcript_id", F.col("chrom").alias("_c"), F.col("jx_start").alias("_s"), F.col("jx_end").alias("_e"), near).distinct()
+    # the distinct junctions meet the reference, not each config's own copy of them
+    places = nodes.select("chrom", "jx_start", "jx_end").distinct().withColumn("_pbin", bin_)
+    on = (F.col("chrom") == F.col("_c")) & (F.col("_pbin") == F.col("_bin")) & (F.abs(F.col("jx_start") - F.col("_s")) <= bases) & (F.abs(F.col("jx_end") - F.col("_e")) <= bases)
+    matched = places.join(ref, on).select("chrom", "jx_start", "jx_end", "transcript_id").distinct()
+    best = nodes.join(matched, ["chrom", "jx_start", "jx_end"]).groupBy("config", "transcript_id").agg(F.count(F.lit(1)).alias("n")).groupBy("config").agg(F.max("n").alias("n"))
+    size = nodes.groupBy("config").agg(F.count(F.lit(1)).alias("size"))
+    return size.join(best, "config", "left").select("config", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("score"))
+
+
 def safe_keys(names: DataFrame, name: str, ident: str) -> DataFrame:
     """(ident, key): the name with characters other than letters, digits, ``.``, ``_``, ``-`` as ``_``; keys of several ids get ``__<id>``."""
     key = F.regexp_replace(F.trim(F.col(name)), r"[^A-Za-z0-9._-]+", "_")

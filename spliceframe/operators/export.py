@@ -31,6 +31,21 @@ def gtf_lines(exons: DataFrame, source: str = "spliceframe") -> DataFrame:
     return exons.select("transcript_id", "exon_no", text.alias("value"))
 
 
+def gtf_transcripts(exons: DataFrame, owners: DataFrame, source: str = "spliceframe") -> DataFrame:
+    """(transcript_id, exon_no, value): GTF lines, a ``transcript`` (exon_no 0) and its numbered ``exon`` lines, of exons of :func:`transcript_exons`.
+
+    owners: (transcript_id, gene_id, strand), any number of rows a transcript, one for each member; the strand is given only if all agree on + or -, else it is ``.``.
+    """
+    known = F.when(F.col("strand").isin("+", "-"), F.col("strand")).otherwise(".")
+    own = owners.groupBy("transcript_id").agg(F.min("gene_id").alias("gene_id"), F.when(F.min(known) == F.max(known), F.min(known)).otherwise(".").alias("strand"))
+    whole = exons.groupBy("transcript_id", "chrom").agg(F.min("e_start").alias("e_start"), F.max("e_end").alias("e_end")).withColumn("exon_no", F.lit(0))
+    rows = exons.unionByName(whole).join(own, "transcript_id")
+    names = F.format_string('gene_id "%s"; transcript_id "%s";', "gene_id", "transcript_id")
+    text = F.when(F.col("exon_no") == 0, names).otherwise(F.concat(names, F.format_string(' exon_number "%d";', "exon_no")))
+    kind = F.when(F.col("exon_no") == 0, "transcript").otherwise("exon")
+    return rows.select("transcript_id", "exon_no", F.concat_ws("\t", "chrom", F.lit(source), kind, "e_start", "e_end", F.lit("."), "strand", F.lit("."), text).alias("value"))
+
+
 def sample_matrix(rows: DataFrame, keys: list[str], sample: str, value: str, samples: list[str]) -> DataFrame:
     """One row per keys with a column per sample of ``samples``: summed values, 0 where a sample has none."""
     return rows.groupBy(*keys).pivot(sample, samples).agg(F.sum(value)).na.fill(0, samples)

@@ -69,12 +69,23 @@ def max_depth(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame
     return depth_runs(df, keys, start, end).groupBy(*keys).agg(F.max("depth").alias("depth"))
 
 
-def merged_nearby(df: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
-    """(keys, start, end, n): intervals whose start lies less than ``gap`` behind the furthest end before them become one."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("_reach").isNull() | (F.col(start) - F.col("_reach") >= gap), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("_reach", reach).withColumn("_island", island)
+def merged_nearby(df: DataFrame, keys: list[str], start: str, end: str, gap: int, tile: int = 10_000_000) -> DataFrame:
+    """(keys, start, end, n): intervals whose start lies less than ``gap`` behind the furthest end before them become one.
+
+    The running furthest end and the count of islands are split by tiles of starts, each of which carries on those of the tiles before it, so that no task sorts a chromosome.
+    """
+    upto = (Window.unboundedPreceding, -1)
+    rows = df.withColumn("_tile", _bin(F.col(start), tile))
+    by_keys = Window.partitionBy(*keys).orderBy("_tile")
+    within = Window.partitionBy(*keys, "_tile").orderBy(start, end)
+    on = [F.col(k).eqNullSafe(F.col(f"_t{k}")) for k in keys] + [F.col("_tile") == F.col("_ttile")]
+    named = [F.col(k).alias(f"_t{k}") for k in keys] + [F.col("_tile").alias("_ttile")]
+    reach = rows.groupBy(*keys, "_tile").agg(F.max(end).alias("_far")).select(*named, F.max("_far").over(by_keys.rowsBetween(*upto)).alias("_carried"))
+    rows = rows.join(reach, on).drop(*(f"_t{k}" for k in keys), "_ttile").withColumn("_reach", F.greatest("_carried", F.max(end).over(within.rowsBetween(*upto))))
+    rows = rows.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) - F.col("_reach") >= gap), 1).otherwise(0))
+    begun = rows.groupBy(*keys, "_tile").agg(F.sum("_new").alias("_count")).select(*named, F.coalesce(F.sum("_count").over(by_keys.rowsBetween(*upto)), F.lit(0)).alias("_begun"))
+    island = F.col("_begun") + F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.join(begun, on).drop(*(f"_t{k}" for k in keys), "_ttile").withColumn("_island", island)
     return marked.groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
@@ -106,3 +117,35 @@ def region_stats(runs: DataFrame, regions: DataFrame, width: int = 1_000_000) ->
     sums = j.groupBy("gene_id").agg(F.sum(F.col("depth") * (hi - lo)).alias("b"), F.sum(hi - lo).alias("c"), F.min("depth").alias("lo"), F.max("depth").alias("hi"))
     out = regions.select("gene_id").join(sums, "gene_id", "left")
     return out.select("gene_id", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for c, n in (("b", "bases"), ("c", "covered"), ("lo", "min_depth"), ("hi", "max_depth"))))
+
+
+def signal_stats(signal: DataFrame, regions: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """(gene_id, sum, mean, min, max) of regions (gene_id, chrom, g_start, g_end; half-open) under signal intervals (chrom, start, end, value, of any numeric type).
+
+    sum: value x shared bases; mean: sum over the bases of the region; min, max: of the values that touch it. Regions without data get zeros; null values and
+    regions or intervals without bases count as none.
+    """
+    regions = regions.where(F.col("g_end") > F.col("g_start"))
+    r = regions.select("gene_id", F.col("chrom").alias("_c"), "g_start", "g_end", F.explode(_bins(F.col("g_start"), F.col("g_end") - 1, width)).alias("_rbin"))
+    d = signal.where((F.col("end") > F.col("start")) & F.col("value").isNotNull()).select("chrom", "start", "end", F.col("value").cast("double").alias("value"))
+    d = d.withColumn("_bin", F.explode(_bins(F.col("start"), F.col("end") - 1, width)))
+    lo, hi = F.greatest("start", "g_start"), F.least("end", "g_end")
+    j = d.join(r, (F.col("chrom") == F.col("_c")) & (F.col("_bin") == F.col("_rbin")) & (lo < hi) & (F.col("_bin") == _bin(lo, width)))
+    stats = j.groupBy("gene_id").agg(F.sum(F.col("value") * (hi - lo)).alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"))
+    of = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    out = regions.select("gene_id", (F.col("g_end") - F.col("g_start")).alias("_bases")).join(stats, "gene_id", "left")
+    return out.select("gene_id", of("sum"), (F.coalesce("sum", F.lit(0.0)) / F.col("_bases")).alias("mean"), of("min"), of("max"))
+
+
+def region_value(signal: DataFrame, regions: DataFrame, op: str = "sum") -> DataFrame:
+    """(gene_id, value) of :func:`signal_stats` for one of sum, mean, min, max; any other ``op`` is sum."""
+    return signal_stats(signal, regions).select("gene_id", F.col(op if op in ("mean", "min", "max") else "sum").alias("value"))
+
+
+def shared_bases(blocks: DataFrame, regions: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """(chrom, bases): bases of half-open blocks (chrom, start, end) inside regions (chrom, start, end); a base counts once for each block and region that hold it."""
+    r = regions.select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(_bins(F.col("start"), F.col("end") - 1, width)).alias("_rbin"))
+    d = blocks.where(F.col("end") > F.col("start")).select("*", F.explode(_bins(F.col("start"), F.col("end") - 1, width)).alias("_bin"))
+    lo, hi = F.greatest("start", "_s"), F.least("end", "_e")
+    j = d.join(r, (F.col("chrom") == F.col("_c")) & (F.col("_bin") == F.col("_rbin")) & (lo < hi) & (F.col("_bin") == _bin(lo, width)))
+    return j.groupBy("chrom").agg(F.sum((hi - lo).cast("long")).alias("bases"))

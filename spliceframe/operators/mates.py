@@ -39,6 +39,12 @@ def fragment_summary(lengths: DataFrame) -> DataFrame:
     return out.select("count", F.try_divide("total", "count").alias("mean"), (-F.col("b.l")).alias("mode"), F.col("b.n").alias("mode_count"))
 
 
+def short_fragments(lengths: DataFrame, below: int = 1000) -> DataFrame:
+    """One row: count and mean of the fragments of a histogram (length, n) that are shorter than ``below``; the mean of none is null."""
+    out = lengths.where(F.col("length") < below).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.sum(F.col("length") * F.col("n")).alias("total"))
+    return out.select("count", F.try_divide("total", "count").alias("mean"))
+
+
 def coverage_events(df: DataFrame) -> DataFrame:
     """(chrom, start, end, weight): aligned blocks (weight 1), and the parts that both mates of a proper pair cover (weight -1)."""
     block = F.explode(cg.blocks(F.col("pos"), F.col("cigar"))).alias("b")

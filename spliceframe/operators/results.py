@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,13 @@ def unconflicted_members(nodes: DataFrame, cliques: DataFrame) -> DataFrame:
     return nodes.join(alone, "gene_id", "left_semi").select(F.concat_ws("_", "gene_id", F.lit("C0")).alias("transcript_id"), "chrom", "jx_start", "jx_end").distinct()
 
 
+def information_criteria(samples: Column, nodes: Column, clusters: Column, loglik: Column, reads: Column) -> tuple[Column, Column]:
+    """(the criterion with nodes + clusters as its parameters, the extended one, which counts those of mixtures, reads, weights, masks and their prior), less twice the log-likelihood."""
+    free = clusters - 1
+    extended = free + reads * free + nodes * free + nodes * clusters + free
+    return (nodes + clusters) * F.log(samples.cast("double")) - 2 * loglik, extended * F.log(samples.cast("double")) - 2 * loglik
+
+
 def restricted(df: DataFrame, names: DataFrame, column: str, *others: DataFrame, every: bool = False) -> DataFrame:
     """Rows whose ``column`` is in the lists of names (one column each): in any, or with ``every`` in all of them. The lists' order and repeats don't matter."""
     lists = [x.select(F.trim(F.col(x.columns[0])).alias(column)).where(F.col(column) != "") for x in (names, *others)]

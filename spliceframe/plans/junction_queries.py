@@ -340,6 +340,75 @@ def listed_genes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
 
 
+def signal_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores of junctions as a signal (a quarter each, so not whole) over the genes."""
+    signal = bridge.junctions(spark, folder).select("chrom", F.col("jx_start").alias("start"), F.col("jx_end").alias("end"), (F.col("score") / 4).alias("value"))
+    return iv.signal_stats(signal, bridge.genes(spark, folder))
+
+
+def auc_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Bases under coverage by chromosome: all, of uniquely placed reads, and inside the genes of the exons."""
+    reads = rd.primary(bridge.alignments(spark, folder))
+    count = lambda df, c: rd.coverage_blocks(df).groupBy("chrom").agg(F.sum((F.col("end") - F.col("start")).cast("long")).alias(c))
+    regions = an.gene_spans(bridge.exons(spark, folder)).select("chrom", F.col("g_start").alias("start"), F.col("g_end").alias("end"))
+    annotated = iv.shared_bases(rd.coverage_blocks(reads), regions).withColumnRenamed("bases", "annotated_auc")
+    out = count(reads, "auc").join(count(reads.where(F.col("mapq") >= rd.UNIQUE_QUALITY), "unique_auc"), "chrom", "left").join(annotated, "chrom", "left")
+    return out.na.fill(0, ["unique_auc", "annotated_auc"])
+
+
+def short_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    s = mt.short_fragments(fragment_lengths(spark, folder))
+    return s.select("count", (F.floor(F.col("mean") * 1000 + 0.5) / 1000).alias("mean"))
+
+
+def chain_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the junctions of every chain that a read shows, the share that the best sample of gene_junc has within 12 bases."""
+    chains = rd.read_chains(bridge.reads(spark, folder), ["bam_file", "chrom"]).where(F.col("n_junctions") >= 2)
+    configs = chains.select(F.concat_ws("|", "bam_file", "chrom", "chain").alias("config"), "chrom", "j").distinct().select("config", "chrom", F.explode("j").alias("x")).select("config", "chrom", "x.jx_start", "x.jx_end")
+    reference = bridge.junctions(spark, folder).where("sample_id IS NOT NULL").select(F.col("sample_id").alias("transcript_id"), "chrom", "jx_start", "jx_end").distinct()
+    return an.tolerance_scores(configs, reference).select("config", (F.floor(F.col("score") * 10000 + 0.5) / 10000).alias("score"))
+
+
+def cluster_criteria(spark: SparkSession, folder: str) -> DataFrame:
+    """Both information criteria of every gene's matrix under the shares of its nodes in all reads."""
+    m = document_matrix(spark, folder)
+    by_node = m.groupBy("gene_id", "node_id").agg(F.sum("count").alias("c"))
+    total = m.groupBy("gene_id").agg(F.sum("count").alias("reads"), F.count_distinct("sample_id").alias("samples"))
+    fit = by_node.join(total, "gene_id").groupBy("gene_id", "reads", "samples").agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("reads"))).alias("loglik"))
+    plain, extended = rs.information_criteria(F.col("samples"), F.col("nodes"), F.col("clique_number"), F.col("loglik"), F.col("reads"))
+    rounded = lambda c: F.floor(c * 100 + 0.5) / 100
+    return fit.join(gene_min_k(spark, folder), "gene_id").select("gene_id", rounded(plain).alias("criterion"), rounded(extended).alias("extended"))
+
+
+def gtf_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """The one transcript of every gene whose junctions don't conflict, as GTF lines."""
+    nodes = staged(_nodes(spark, folder), "nodes")
+    members = rs.unconflicted_members(nodes, gr.clique_numbers(nodes))
+    owners = nodes.select(F.concat_ws("_", "gene_id", F.lit("C0")).alias("transcript_id"), "gene_id", "strand")
+    return ex.gtf_transcripts(ex.transcript_exons(members), owners)
+
+
+def _even_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """A result by sample of an even share of every gene's clusters; the members of cluster k are the nodes of the same parity."""
+    m = document_matrix(spark, folder).where("sample_id IS NOT NULL").join(gene_min_k(spark, folder).where("clique_number >= 2"), "gene_id")
+    k = F.explode(F.sequence(F.lit(0), F.col("clique_number").cast("int") - 1)).alias("k")
+    rows = m.select("gene_id", "sample_id", "node_id", "clique_number", "count", k)
+    return rows.select("gene_id", "sample_id", "k", "node_id", (F.col("node_id") % 2 == F.col("k") % 2).alias("member"), (F.col("count") / F.col("clique_number")).alias("expected_count"))
+
+
+def sample_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected reads of every cluster and sample, at members and at all nodes, under even shares."""
+    s = inf.sample_counts(_even_shares(spark, folder))
+    return s.select("gene_id", "k", "sample_id", *((F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c) for c in ("member_count", "all_count")))
+
+
+def merged_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters with the same members as one, under even shares."""
+    by_node = _even_shares(spark, folder).groupBy("gene_id", "k", "node_id", "member").agg(F.sum("expected_count").alias("expected_count"))
+    m = inf.merged_clusters(by_node)
+    return m.select("gene_id", F.array_join("members", ",").alias("members"), "clusters", (F.floor(F.col("expected_count") * 1000 + 0.5) / 1000).alias("expected_count"))
+
+
 def queries() -> dict:
-    own = (unconflicted_exons, inferred_exons, node_labels, zero_tiles, listed_genes, paired_chains, reference_edges, cluster_numbers, node_cover, sample_split, expected_counts, cluster_merge, fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi)
+    own = (signal_stats, auc_kinds, short_fragments, chain_scores, cluster_criteria, gtf_transcripts, sample_sums, merged_sets, unconflicted_exons, inferred_exons, node_labels, zero_tiles, listed_genes, paired_chains, reference_edges, cluster_numbers, node_cover, sample_split, expected_counts, cluster_merge, fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi)
     return {f.__name__: f for f in own}

@@ -24,6 +24,9 @@ _WITH["f"] = """SELECT *, CAST(4 + e % 12 AS INT) AS a1, CAST(40 + (e % 5) * 20
 _WITH["one"] = "SELECT *, pos + a1 AS s1, pos + a1 + n1 + c1 + del + d1 AS s2 FROM f"
 _WITH["blk"] = """SELECT rname AS chrom, pos - 1 AS s, pos - 1 + a1 AS e FROM one UNION ALL SELECT rname, s1 + n1 - 1, s1 + n1 - 1 + c1 FROM one
   UNION ALL SELECT rname, s2 - d1 - 1, s2 - 1 FROM one UNION ALL SELECT rname, s2 + n2 - 1, s2 + n2 - 1 + 9 FROM one WHERE two"""
+_WITH["blq"] = """SELECT rname AS chrom, mapq, pos - 1 AS s, pos - 1 + a1 AS e FROM one UNION ALL SELECT rname, mapq, s1 + n1 - 1, s1 + n1 - 1 + c1 FROM one
+  UNION ALL SELECT rname, mapq, s2 - d1 - 1, s2 - 1 FROM one UNION ALL SELECT rname, mapq, s2 + n2 - 1, s2 + n2 - 1 + 9 FROM one WHERE two"""
+_WITH["even"] = """SELECT m.gene_id, sample_id, CAST(unnest(range(c.k)) AS INT) AS k, node_id, count / c.k::DOUBLE AS x FROM m JOIN (SELECT gene_id, CAST(max(d) AS BIGINT) AS k FROM depth GROUP BY 1 HAVING max(d) >= 2) c ON c.gene_id = m.gene_id WHERE sample_id IS NOT NULL"""
 _WITH["ev"] = "SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, s AS pos, 1 AS d FROM blk UNION ALL SELECT chrom, e, -1 FROM blk) GROUP BY 1, 2 HAVING sum(d) <> 0"
 _WITH["run"] = """SELECT * FROM (SELECT chrom, CAST(pos AS INT) AS start, CAST(lead(pos) OVER w AS INT) AS "end", CAST(sum(d) OVER w AS BIGINT) AS depth FROM ev WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE "end" IS NOT NULL"""
 _WITH["xi"] = """SELECT * FROM (SELECT gene_id, transcript_id, chrom, e_end + 1 AS jx_start, lead(e_start) OVER (PARTITION BY gene_id, transcript_id ORDER BY e_start, e_end) - 1 AS jx_end FROM x) WHERE jx_end >= jx_start"""
@@ -65,6 +68,32 @@ o AS (SELECT *, lag(e) OVER w AS pe, lead(s) OVER w AS ns, row_number() OVER w A
 ok AS (SELECT transcript_id FROM o GROUP BY 1 HAVING bool_and(e >= s AND (pe IS NULL OR s - pe > 1) AND (pe IS NOT NULL OR s > 1)) AND count(DISTINCT chrom) = 1)
 SELECT transcript_id, CAST(no AS INT) AS exon_no, chrom, coalesce(pe + 1, s - 1) AS e_start, s - 1 AS e_end FROM o SEMI JOIN ok USING (transcript_id)
 UNION ALL SELECT transcript_id, CAST(no + 1 AS INT), chrom, e + 1, e + 1 FROM o SEMI JOIN ok USING (transcript_id) WHERE ns IS NULL"""),
+        "signal_stats": _sql("j g", """SELECT gene_id, coalesce(sum(v * (least(e, g_end) - greatest(s, g_start))), 0) AS sum, coalesce(sum(v * (least(e, g_end) - greatest(s, g_start))), 0) / any_value(g_end - g_start) AS mean, coalesce(min(v), 0) AS min, coalesce(max(v), 0) AS max
+  FROM g LEFT JOIN (SELECT chrom, jx_start AS s, jx_end AS e, score / 4.0::DOUBLE AS v FROM j WHERE jx_end > jx_start AND score IS NOT NULL) x ON x.chrom = g.chrom AND s < g_end AND e > g_start WHERE g_end > g_start GROUP BY 1"""),
+        "auc_kinds": _sql(_A + "blq x", """, sp AS (SELECT gene_id, chrom, min(e_start) AS gs, max(e_end) AS ge FROM x GROUP BY 1, 2), an AS (SELECT b.chrom, sum(least(e, ge) - greatest(s, gs)) AS n FROM blq b JOIN sp ON sp.chrom = b.chrom AND s < ge AND e > gs GROUP BY 1)
+SELECT chrom, CAST(sum(e - s) AS BIGINT) AS auc, CAST(coalesce(sum(e - s) FILTER (mapq >= 10), 0) AS BIGINT) AS unique_auc, CAST(coalesce(any_value(n), 0) AS BIGINT) AS annotated_auc FROM blq LEFT JOIN an USING (chrom) GROUP BY 1"""),
+        "short_fragments": _sql("pr h fl", "SELECT CAST(sum(n) AS BIGINT) AS count, floor(sum(length * n)::DOUBLE / sum(n)::DOUBLE * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS mean FROM fl WHERE length < 1000"),
+        "chain_scores": _sql("j " + _R, """, c AS (SELECT DISTINCT concat_ws('|', bam_file, chrom, chain) AS config, chrom, once.jx_start AS s, once.jx_end AS e FROM once JOIN chain USING (bam_file, chrom, read) WHERE n_junctions >= 2),
+p AS (SELECT DISTINCT chrom, s, e FROM c), f AS (SELECT DISTINCT sample_id, chrom, jx_start AS s, jx_end AS e FROM j WHERE sample_id IS NOT NULL),
+w AS (SELECT DISTINCT p.chrom, p.s, p.e, sample_id FROM p JOIN f ON f.chrom = p.chrom AND abs(f.s - p.s) <= 12 AND abs(f.e - p.e) <= 12), b AS (SELECT config, max(n) AS n FROM (SELECT config, sample_id, count(*) AS n FROM c JOIN w USING (chrom, s, e) GROUP BY 1, 2) GROUP BY 1)
+SELECT config, floor(coalesce(any_value(n), 0)::DOUBLE / count(*)::DOUBLE * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS score FROM c LEFT JOIN b USING (config) GROUP BY 1"""),
+        "cluster_criteria": _sql(_N + "depth m", """, q AS (SELECT gene_id, count(*) AS v, coalesce(max(d), 1) AS k FROM node LEFT JOIN depth USING (gene_id) GROUP BY 1), t AS (SELECT gene_id, sum(count)::DOUBLE AS w, count(DISTINCT sample_id)::DOUBLE AS d FROM m GROUP BY 1),
+l AS (SELECT gene_id, sum(c * ln(c / w)) AS l FROM (SELECT gene_id, node_id, sum(count)::DOUBLE AS c FROM m GROUP BY 1, 2) JOIN t USING (gene_id) GROUP BY 1)
+SELECT gene_id, floor(((v + k) * ln(d) - 2 * l) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS criterion, floor((((k - 1) + w * (k - 1) + v * (k - 1) + v * k + (k - 1)) * ln(d) - 2 * l) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS extended FROM t JOIN l USING (gene_id) JOIN q USING (gene_id)"""),
+        "gtf_transcripts": _sql(_N + "depth", """, one AS (SELECT gene_id FROM node LEFT JOIN depth USING (gene_id) GROUP BY 1 HAVING coalesce(max(d), 1) = 1),
+i AS (SELECT DISTINCT gene_id, gene_id || '_C0' AS t, chrom, jx_start AS s, jx_end AS e FROM node SEMI JOIN one USING (gene_id)),
+st AS (SELECT gene_id, CASE WHEN count(DISTINCT coalesce(strand, '.')) = 1 AND min(coalesce(strand, '.')) IN ('+', '-') THEN min(strand) ELSE '.' END AS strand FROM node GROUP BY 1),
+o AS (SELECT *, lag(e) OVER w AS pe, lead(s) OVER w AS ns, row_number() OVER w AS no FROM i WINDOW w AS (PARTITION BY t ORDER BY s, e)),
+ok AS (SELECT t FROM o GROUP BY 1 HAVING bool_and(e >= s AND (pe IS NULL OR s - pe > 1) AND (pe IS NOT NULL OR s > 1)) AND count(DISTINCT chrom) = 1),
+x AS (SELECT gene_id, t, no, chrom, coalesce(pe + 1, s - 1) AS a, s - 1 AS b FROM o SEMI JOIN ok USING (t) UNION ALL SELECT gene_id, t, no + 1, chrom, e + 1, e + 1 FROM o SEMI JOIN ok USING (t) WHERE ns IS NULL
+  UNION ALL SELECT gene_id, t, 0, chrom, min(s) - 1, max(e) + 1 FROM o SEMI JOIN ok USING (t) GROUP BY ALL)
+SELECT t AS transcript_id, CAST(no AS INT) AS exon_no, concat_ws(chr(9), chrom, 'spliceframe', CASE WHEN no = 0 THEN 'transcript' ELSE 'exon' END, a, b, '.', strand, '.', 'gene_id "' || gene_id || '"; transcript_id "' || t || '";' || CASE WHEN no = 0 THEN '' ELSE ' exon_number "' || no || '";' END) AS value FROM x JOIN st USING (gene_id)"""),
+        "sample_sums": _sql(_N + "depth m even", "SELECT gene_id, k, sample_id, floor(coalesce(sum(x) FILTER (node_id % 2 = k % 2), 0) * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS member_count, floor(sum(x) * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS all_count FROM even GROUP BY ALL"),
+        "merged_sets": _sql(_N + "depth m even", """, u AS (SELECT gene_id, k, coalesce(string_agg(DISTINCT node_id, ',' ORDER BY node_id) FILTER (node_id % 2 = k % 2), '') AS members, sum(x) AS c FROM even GROUP BY 1, 2)
+SELECT gene_id, members, count(*) AS clusters, floor(sum(c) * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE AS expected_count FROM u GROUP BY 1, 2"""),
+        "sample_matrix": _sql("j", """, s AS (SELECT DISTINCT sample_id FROM sample_sheet WHERE sample_id IS NOT NULL), y AS (SELECT gene, sample_id, score FROM j SEMI JOIN s USING (sample_id) WHERE gene NOT IN ('', '.')
+  UNION ALL SELECT DISTINCT gene, (SELECT min(sample_id) FROM s), 0 FROM j WHERE gene NOT IN ('', '.') UNION ALL SELECT '', sample_id, 0 FROM s)
+SELECT * FROM (PIVOT y ON sample_id USING coalesce(sum(score), 0)::BIGINT GROUP BY gene) WHERE gene <> ''"""),
         "node_labels": _sql("j", "SELECT DISTINCT chrom || ':' || jx_start || '-' || jx_end AS label, chrom, jx_start, jx_end FROM j"),
         "zero_tiles": _sql("g r", """, c AS (SELECT chrom, max(g_end) AS n FROM g GROUP BY 1), t AS (SELECT chrom, n, unnest(range(0, (n - 1) // 1000000 + 1)) AS tile FROM c),
 p AS (SELECT chrom, k AS tile, sum(least(jx_end, (k + 1) * 1000000) - greatest(jx_start, k * 1000000)) AS b FROM (SELECT *, unnest(range(jx_start // 1000000, (jx_end - 1) // 1000000 + 1)) AS k FROM r WHERE jx_end > jx_start) GROUP BY 1, 2)
