@@ -72,6 +72,34 @@ def document_matrix(junctions: DataFrame, nodes: DataFrame) -> DataFrame:
     return per_sample.join(own, on).select("gene_id", "sample_id", "node_id", "count")
 
 
+def path_members(chains: DataFrame, genes: DataFrame, file: str) -> DataFrame:
+    """(gene_id, file, node, kind, count, j): nodes of the genes that reads show in a file: every junction (count: the reads that hold it) and, as a node of several segments
+    ``j``, every path of two junctions or more (count: the reads that show it whole). A node belongs to the genes that contain it from its first to its last base."""
+    text = lambda x: F.concat_ws("-", x["jx_start"], x["jx_end"])
+    one = chains.select(file, "chrom", F.explode("j").alias("x")).groupBy(file, "chrom", "x").agg(F.count(F.lit(1)).alias("count"))
+    one = one.select(file, "chrom", F.lit("junction").alias("kind"), text(F.col("x")).alias("node"), "count", F.array("x").alias("j"))
+    several = chains.where(F.col("n_junctions") >= 2).groupBy(file, "chrom", F.col("chain").alias("node"), "j").agg(F.count(F.lit(1)).alias("count"))
+    nodes = one.unionByName(several.select(file, "chrom", F.lit("path").alias("kind"), "node", "count", "j"))
+    spans = nodes.withColumns({"_from": F.array_min(F.transform("j", lambda x: x["jx_start"])), "_to": F.array_max(F.transform("j", lambda x: x["jx_end"]))})
+    return containment_join(spans, genes, start="_from", end="_to").select("gene_id", file, "chrom", "node", "kind", "count", "j")
+
+
+def path_conflicts(members: DataFrame, file: str) -> DataFrame:
+    """(gene_id, file, node, conflicts): of the nodes of :func:`path_members` the number of others of their gene, file and chromosome that they conflict with: some
+    segment of one overlaps some of the other (touching ends don't). The distinct junctions of a file meet each other once, whatever the number of paths that hold them."""
+    keys = ["gene_id", file, "chrom"]
+    segments = members.select(*keys, "node", F.explode("j").alias("x")).select(*keys, "node", "x.jx_start", "x.jx_end")
+    distinct = segments.select(*keys, "jx_start", "jx_end").distinct().withColumn("_id", F.concat_ws("-", "jx_start", "jx_end"))
+    pairs = overlapping_pairs(distinct, keys, "_id", "jx_start", "jx_end", 10_000).select(*keys, F.col("u").alias("_a"), F.col("v").alias("_b"))
+    itself = distinct.where(F.col("jx_end") > F.col("jx_start")).select(*keys, F.col("_id").alias("_a"), F.col("_id").alias("_b"))
+    both = pairs.unionByName(pairs.select(*keys, F.col("_b").alias("_a"), F.col("_a").alias("_b"))).unionByName(itself)
+    held = segments.select(*keys, "node", F.concat_ws("-", "jx_start", "jx_end").alias("_a"))
+    reached = held.join(both, [*keys, "_a"]).select(*keys, "node", "_b").distinct()
+    other = held.select(*keys, F.col("node").alias("_other"), F.col("_a").alias("_b"))
+    met = reached.join(other, [*keys, "_b"]).where(F.col("node") != F.col("_other")).groupBy(*keys, "node").agg(F.count_distinct("_other").alias("conflicts"))
+    return members.select(*keys, "node").join(met, [*keys, "node"], "left").select("gene_id", file, "node", F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+
+
 def independent_sets(nodes: DataFrame) -> DataFrame:
     """(gene_id, node_id): a largest set of nodes without conflicts in each gene (earliest end first, ends may touch the next start).
 

@@ -101,6 +101,19 @@ def path_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return rd.paths(rd.read_chains(bridge.reads(spark, folder), ["bam_file", "chrom"]), ["bam_file", "chrom"])
 
 
+def _path_members(spark: SparkSession, folder: str) -> DataFrame:
+    return gr.path_members(rd.read_chains(bridge.reads(spark, folder), ["bam_file", "chrom"]), bridge.genes(spark, folder), "bam_file")
+
+
+def path_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """Junctions and paths of the genes with the reads that show them in each file."""
+    return _path_members(spark, folder).select("gene_id", "bam_file", "node", "kind", "count")
+
+
+def path_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    return gr.path_conflicts(staged(_path_members(spark, folder), "members"), "bam_file")
+
+
 def cooc_prior(spark: SparkSession, folder: str) -> DataFrame:
     prior = gr.cooccurrence_prior(rd.read_chains(bridge.reads(spark, folder), ["bam_file", "chrom"]), ["bam_file", "chrom"])
     return prior.select("bam_file", "chrom", "v", "u", (F.floor(F.col("weight") * 10000 + 0.5) / 10000).alias("weight"))
@@ -410,5 +423,5 @@ def merged_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (signal_stats, auc_kinds, short_fragments, chain_scores, cluster_criteria, gtf_transcripts, sample_sums, merged_sets, unconflicted_exons, inferred_exons, node_labels, zero_tiles, listed_genes, paired_chains, reference_edges, cluster_numbers, node_cover, sample_split, expected_counts, cluster_merge, fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi)
+    own = (signal_stats, auc_kinds, short_fragments, chain_scores, cluster_criteria, gtf_transcripts, sample_sums, merged_sets, unconflicted_exons, inferred_exons, node_labels, zero_tiles, listed_genes, paired_chains, reference_edges, cluster_numbers, node_cover, sample_split, expected_counts, cluster_merge, fragment_lengths, fragment_summary, pair_coverage, pair_auc, read_alternates, path_cliques, cluster_scores, stream_hourly, gene_min_k, junction_totals, junction_sample_counts, junction_floor, gene_containment, node_ids, conflict_edges, lower_neighbour, mis_greedy, document_matrix, document_row_sums, top_mass_members, read_containment, sj_counts, cooccurring_reads, path_nodes, path_matrix, path_conflicts, cooc_prior, align_filter, align_mask, cigar_introns, cigar_introns_unfiltered, read_totals, read_ends, coverage_rle, auc, tiled_windows, region_stats, merge_nearby, exon_introns, gene_intervals, gtf_attributes, strand_fix, overlap_90pct, tolerance_match, reference_sets, safe_keys, sample_matrix, sample_manifest, transcript_exons, infer_cavi)
     return {f.__name__: f for f in own}

@@ -27,6 +27,9 @@ _WITH["blk"] = """SELECT rname AS chrom, pos - 1 AS s, pos - 1 + a1 AS e FROM on
 _WITH["blq"] = """SELECT rname AS chrom, mapq, pos - 1 AS s, pos - 1 + a1 AS e FROM one UNION ALL SELECT rname, mapq, s1 + n1 - 1, s1 + n1 - 1 + c1 FROM one
   UNION ALL SELECT rname, mapq, s2 - d1 - 1, s2 - 1 FROM one UNION ALL SELECT rname, mapq, s2 + n2 - 1, s2 + n2 - 1 + 9 FROM one WHERE two"""
 _WITH["even"] = """SELECT m.gene_id, sample_id, CAST(unnest(range(c.k)) AS INT) AS k, node_id, count / c.k::DOUBLE AS x FROM m JOIN (SELECT gene_id, CAST(max(d) AS BIGINT) AS k FROM depth GROUP BY 1 HAVING max(d) >= 2) c ON c.gene_id = m.gene_id WHERE sample_id IS NOT NULL"""
+_WITH["pn"] = """SELECT bam_file, chrom, 'junction' AS kind, jx_start || '-' || jx_end AS node, count(*) AS count, min(jx_start) AS f, max(jx_end) AS t FROM once GROUP BY ALL
+  UNION ALL SELECT bam_file, chrom, 'path', chain, count(DISTINCT read), min(jx_start), max(jx_end) FROM chain JOIN once USING (bam_file, chrom, read) WHERE n_junctions >= 2 GROUP BY bam_file, chrom, chain"""
+_WITH["pg"] = "SELECT gene_id, pn.* FROM pn JOIN g ON g.chrom = pn.chrom AND g_start <= f AND t <= g_end"
 _WITH["ev"] = "SELECT chrom, pos, sum(d) AS d FROM (SELECT chrom, s AS pos, 1 AS d FROM blk UNION ALL SELECT chrom, e, -1 FROM blk) GROUP BY 1, 2 HAVING sum(d) <> 0"
 _WITH["run"] = """SELECT * FROM (SELECT chrom, CAST(pos AS INT) AS start, CAST(lead(pos) OVER w AS INT) AS "end", CAST(sum(d) OVER w AS BIGINT) AS depth FROM ev WINDOW w AS (PARTITION BY chrom ORDER BY pos)) WHERE "end" IS NOT NULL"""
 _WITH["xi"] = """SELECT * FROM (SELECT gene_id, transcript_id, chrom, e_end + 1 AS jx_start, lead(e_start) OVER (PARTITION BY gene_id, transcript_id ORDER BY e_start, e_end) - 1 AS jx_end FROM x) WHERE jx_end >= jx_start"""
@@ -131,6 +134,10 @@ SELECT gene_id, count(DISTINCT sample_id) AS samples, CAST(sum(count) AS BIGINT)
         "sj_counts": _sql("r", "SELECT bam_file, chrom, jx_start, jx_end, count(*) FILTER (u = 1) AS n_unique, count(*) FILTER (coalesce(u, 0) <> 1) AS n_multi FROM (SELECT bam_file, chrom, jx_start, jx_end, read, max(is_unique) AS u FROM r GROUP BY ALL) GROUP BY ALL"),
         "cooccurring_reads": _sql(_R, "SELECT bam_file, chrom, read, n_junctions, chain FROM chain WHERE n_junctions >= 2"),
         "path_nodes": _sql(_R, "SELECT bam_file, chrom, chain, n_junctions, count(*) AS n_reads FROM chain WHERE n_junctions >= 2 GROUP BY ALL"),
+        "path_matrix": _sql("g " + _R + "pn pg", "SELECT gene_id, bam_file, node, kind, count FROM pg"),
+        "path_conflicts": _sql("g " + _R + "pn pg", """, x AS (SELECT gene_id, bam_file, chrom, node, unnest(string_split(node, ',')) AS p FROM pg), y AS (SELECT *, CAST(split_part(p, '-', 1) AS INT) AS s, CAST(split_part(p, '-', 2) AS INT) AS e FROM x)
+SELECT pg.gene_id, pg.bam_file, pg.node, coalesce(n, 0) AS conflicts FROM pg LEFT JOIN (SELECT a.gene_id, a.bam_file, a.chrom, a.node, count(DISTINCT b.node) AS n FROM y a JOIN y b
+  ON a.gene_id = b.gene_id AND a.bam_file = b.bam_file AND a.chrom = b.chrom AND a.node <> b.node AND a.e > b.s AND a.s < b.e AND a.e > a.s AND b.e > b.s GROUP BY 1, 2, 3, 4) USING (gene_id, bam_file, chrom, node)"""),
         "cooc_prior": _sql(_R, f"""SELECT bam_file, chrom, v, u, {_PCT.format('(c::DOUBLE / t::DOUBLE)')} AS weight FROM (SELECT a.bam_file, a.chrom, a.jx_start || '-' || a.jx_end AS v, b.jx_start || '-' || b.jx_end AS u, count(*) AS c
   FROM once a JOIN once b ON a.bam_file = b.bam_file AND a.chrom = b.chrom AND a.read = b.read AND (a.jx_start, a.jx_end) <> (b.jx_start, b.jx_end) GROUP BY ALL) JOIN (SELECT once.bam_file, once.chrom, jx_start || '-' || jx_end AS v, count(*) AS t
   FROM once JOIN chain USING (bam_file, chrom, read) WHERE n_junctions >= 2 GROUP BY ALL) USING (bam_file, chrom, v)"""),
