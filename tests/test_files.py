@@ -90,3 +90,21 @@ def test_small_files_come_back_whole(spark, tmp_path):
 def test_no_small_files(spark, tmp_path):
     small_files.write_small_files(spark.createDataFrame([], "file_name string, value string"), f"{tmp_path}/store")
     assert small_files.read_small_files(spark, f"{tmp_path}/store").count() == 0
+
+
+def test_large_folders_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILE_ROWS", 100)
+    rows = [("g", "s", "1", i, i + 5, 1, "+") for i in range(450)] + [("h", "s", "1", i, i + 5, 1, None) for i in range(20)]
+    writers.write_by_gene(spark.createDataFrame(rows, "gene_key string, sample string, chrom string, jx_start int, jx_end int, score int, strand string"), f"{tmp_path}/by")
+    files = {k: [f for f in os.listdir(f"{tmp_path}/by/gene_key={k}/sample=s") if f.endswith(".csv")] for k in "gh"}
+    assert 1 < len(files["g"]) <= 5 and len(files["h"]) == 1
+    assert spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/by").count() == 470
+
+
+def test_junctions_of_reads_with_strand_and_cigar(spark, tmp_path):
+    rows = [("r1", "1", 5, 9, "+", "4M5N4M", 1), ("r2", "1", 7, 9, None, None, 0)]
+    writers.write_all_junctions(spark.createDataFrame(rows, "qname string, chrom string, jx_start int, jx_end int, strand string, cigar string, is_unique int"), f"{tmp_path}/all")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/all").collect()) == ["r1\t1\t5\t9\t+\t4M5N4M\t1", "r2\t1\t7\t9\t0\t*\t0"]
+    chains = spark.createDataFrame([("1", 2, [(5, 9), (20, 30)], "5-9,20-30", "-", "x", 3)], "chrom string, n_junctions int, j array<struct<jx_start:int,jx_end:int>>, chain string, strand string, cigar string, pos int")
+    writers.write_chains(chains, f"{tmp_path}/jxs")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/jxs").collect()] == ["1\t3\t-\t0\tx\t5-9,20-30\t1"]

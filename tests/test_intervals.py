@@ -80,3 +80,34 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id int, chrom string, s int, e int")
     assert iv.depth_runs(df, ["chrom"], "s", "e").collect() == [] and iv.overlapping_pairs(df, ["chrom"], "id", "s", "e").collect() == []
     assert df.where(F.col("id") > 0).count() == 0
+
+
+def _spread(spark, n=60):
+    r = random.Random(n)
+    return [(c, a, a + r.randrange(1, 40)) for c in ("x", None) for a in (r.randrange(0, 2000) for _ in range(n))]
+
+
+@pytest.mark.parametrize("tile", [7, 100, 10_000])
+def test_merged_nearby_by_tiles(spark, tile):
+    rows = _spread(spark)
+    got = sorted((str(r["c"]), r["start"], r["end"], r["n"]) for r in iv.merged_nearby(spark.createDataFrame(rows, "c string, s int, e int"), ["c"], "s", "e", 5, tile).collect())
+    want = []
+    for c in ("x", None):
+        for _, a, b in sorted(x for x in rows if x[0] == c):
+            if want and want[-1][0] == str(c) and a - want[-1][2] < 5:
+                want[-1] = (str(c), want[-1][1], max(want[-1][2], b), want[-1][3] + 1)
+            else:
+                want.append((str(c), a, b, 1))
+    assert got == sorted(want)
+
+
+def test_signal_over_regions(spark):
+    signal = spark.createDataFrame([("c", 0, 10, 0.5), ("c", 10, 30, 2.25), ("c", 30, 30, 9.0), ("c", 12, 14, None), ("d", 0, 100, -1.5)], "chrom string, start int, end int, value double")
+    regions = spark.createDataFrame([("g", "c", 5, 25), ("h", "d", 10, 20), ("none", "e", 0, 9), ("empty", "c", 9, 9)], "gene_id string, chrom string, g_start int, g_end int")
+    got = {r["gene_id"]: tuple(r)[1:] for r in iv.signal_stats(signal, regions, 8).collect()}
+    assert got == {"g": (36.25, 36.25 / 20, 0.5, 2.25), "h": (-15.0, -1.5, -1.5, -1.5), "none": (0.0, 0.0, 0.0, 0.0)}
+    for op, value in (("sum", 36.25), ("mean", 36.25 / 20), ("min", 0.5), ("max", 2.25), ("other", 36.25)):
+        assert {r["gene_id"]: r["value"] for r in iv.region_value(signal, regions, op).collect()}["g"] == value
+    blocks = spark.createDataFrame([("c", 0, 10), ("c", 8, 30), ("d", 5, 5)], "chrom string, start int, end int")
+    inside = spark.createDataFrame([("c", 5, 9), ("c", 20, 40), ("d", 0, 9)], "chrom string, start int, end int")
+    assert [tuple(r) for r in iv.shared_bases(blocks, inside, 8).collect()] == [("c", 4 + 1 + 10)]

@@ -11,6 +11,7 @@ from spliceframe.operators import annotation as an
 from spliceframe.operators import export as ex
 from spliceframe.operators import graph as gr
 from spliceframe.operators import inference as inf
+from spliceframe.operators import mates as mt
 from spliceframe.operators import reads as rd
 from spliceframe.operators import results as rs
 from spliceframe.plans import junction_queries as jq
@@ -229,3 +230,38 @@ def test_too_many_samples_for_columns(spark, monkeypatch):
     monkeypatch.setattr(jq, "PIVOT", 1)
     with pytest.raises(ValueError, match="more than 1 samples"):
         jq.sample_matrix(spark, "/root/testdata/sf0.001")
+
+
+def test_scores_of_the_best_transcript(spark):
+    configs = spark.createDataFrame([("c", "1", 100, 200), ("c", "1", 300, 400), ("c", "1", 300, 400), ("d", "1", 9000, 9100), ("e", None, 1, 2)], "config string, chrom string, jx_start int, jx_end int")
+    reference = spark.createDataFrame([("T1", "1", 112, 188), ("T2", "1", 100, 213), ("T2", "1", 301, 399), ("T3", "2", 100, 200)], "transcript_id string, chrom string, jx_start int, jx_end int")
+    assert {r["config"]: r["score"] for r in an.tolerance_scores(configs, reference).collect()} == {"c": 0.5, "d": 0.0, "e": 0.0}
+    assert an.tolerance_scores(configs.limit(0), reference).collect() == []
+
+
+def test_information_criteria(spark):
+    df = spark.createDataFrame([(4, 3, 2, -10.0, 7)], "d int, v int, k int, l double, w int")
+    plain, extended = df.select(*rs.information_criteria(*(F.col(c) for c in "dvklw"))).first()
+    assert abs(plain - (5 * math.log(4) + 20)) < 1e-9 and abs(extended - ((1 + 7 + 3 + 6 + 1) * math.log(4) + 20)) < 1e-9
+
+
+def test_gtf_lines_of_transcripts(spark):
+    members = spark.createDataFrame([("t", "1", 101, 200), ("t", "1", 301, 400), ("u", "2", 11, 20)], "transcript_id string, chrom string, jx_start int, jx_end int")
+    owners = spark.createDataFrame([("t", "g", "+"), ("t", "g", "+"), ("u", "h", "+"), ("u", "h", None)], "transcript_id string, gene_id string, strand string")
+    lines = [r["value"].split("\t") for r in ex.gtf_transcripts(ex.transcript_exons(members), owners, "x").orderBy("transcript_id", "exon_no").collect()]
+    assert [(x[2], x[3], x[4], x[6]) for x in lines] == [("transcript", "100", "401", "+"), ("exon", "100", "100", "+"), ("exon", "201", "300", "+"), ("exon", "401", "401", "+"), ("transcript", "10", "21", "."), ("exon", "10", "10", "."), ("exon", "21", "21", ".")]
+    assert lines[0][8] == 'gene_id "g"; transcript_id "t";' and lines[2][8] == 'gene_id "g"; transcript_id "t"; exon_number "2";'
+
+
+def test_paths_as_nodes(spark):
+    chains = spark.createDataFrame([("f", "1", "r1", 2, "10-20,30-40", [(10, 20), (30, 40)]), ("f", "1", "r2", 2, "10-20,30-40", [(10, 20), (30, 40)]), ("f", "1", "r3", 1, "20-30", [(20, 30)]), ("f", "1", "r4", 1, "35-50", [(35, 50)]), ("f", "1", "r5", 1, "35-99", [(35, 99)])], "bam_file string, chrom string, read string, n_junctions int, chain string, j array<struct<jx_start:int,jx_end:int>>")
+    genes = spark.createDataFrame([("g", "1", 1, 60), ("h", "1", 25, 60)], "gene_id string, chrom string, g_start int, g_end int")
+    members = gr.path_members(chains, genes, "bam_file")
+    assert {(r["gene_id"], r["node"], r["kind"], r["count"]) for r in members.collect()} == {("g", "10-20", "junction", 2), ("g", "30-40", "junction", 2), ("g", "20-30", "junction", 1), ("g", "35-50", "junction", 1), ("g", "10-20,30-40", "path", 2), ("h", "30-40", "junction", 2), ("h", "35-50", "junction", 1)}
+    got = {(r["gene_id"], r["node"]): r["conflicts"] for r in gr.path_conflicts(members, "bam_file").collect()}
+    assert got == {("g", "10-20"): 1, ("g", "30-40"): 2, ("g", "20-30"): 0, ("g", "35-50"): 2, ("g", "10-20,30-40"): 3, ("h", "30-40"): 1, ("h", "35-50"): 1}
+
+
+def test_short_fragments(spark):
+    lengths = spark.createDataFrame([(100, 2), (999, 1), (1000, 5)], "length int, n long")
+    assert tuple(mt.short_fragments(lengths).first()) == (3, 1199 / 3) and tuple(mt.short_fragments(lengths.limit(0)).first()) == (0, None)
