@@ -1,9 +1,8 @@
 """Exact percentiles per group by distributed multi-select, and mergeable summaries of separate days.
 
-The values of every input split become sorted runs where they are; no value is shuffled before the selection. In a round, every run
-proposes, for each open range of a group, the median of its values in the range; the weighted median of the proposals becomes the pivot;
-the runs count their values below and at the pivot; the side that can't hold the wanted rank is discarded. Percentiles of a group share
-a range until a pivot parts them. A percentile is found when the pivot has its rank, or when at most ``LEAST`` values remain, which
+The values of every input split become sorted runs where they are; no value is shuffled before the selection. Every run proposes, for each open range of a group, the median of its values in the range; the weighted median of the proposals
+becomes the pivot. In a round the runs count their values below and at the pivot and propose medians of both sides; the side that can't hold the wanted rank is discarded, and
+the other one's proposals give the next pivot. Percentiles of a group share a range until a pivot parts them. A percentile is found when the pivot has its rank, or when at most ``LEAST`` values remain, which
 are then gathered. Every group takes part in the first round, whatever its size. Groups are dealt to blocks of at most about ``ASKS``
 percentiles by a hash, and a block's ranges, proposals and counts travel as arrays; sums and medians are taken within lanes of splits, then over the lanes.
 
@@ -132,8 +131,8 @@ def _runs(blocks: int, visits: int) -> Callable:
 # ---- ranges of a block of groups; lo and hi are bounds that don't belong to a range, NaN where there is none
 
 
-_STATE = "visit int, block long, open boolean, rounds int, gs array<long>, n array<long>, k array<long>, m array<long>, lo array<double>, hi array<double>, found array<double>, done array<boolean>, took array<int>"
-_KINDS = {"gs": pa.int64(), "n": pa.int64(), "k": pa.int64(), "m": pa.int64(), "lo": pa.float64(), "hi": pa.float64(), "found": pa.float64(), "done": pa.bool_(), "took": pa.int32()}
+_STATE = "visit int, block long, open boolean, rounds int, gs array<long>, n array<long>, k array<long>, m array<long>, lo array<double>, hi array<double>, found array<double>, done array<boolean>, pivot array<double>, took array<int>"
+_KINDS = {"gs": pa.int64(), "n": pa.int64(), "k": pa.int64(), "m": pa.int64(), "lo": pa.float64(), "hi": pa.float64(), "found": pa.float64(), "done": pa.bool_(), "pivot": pa.float64(), "took": pa.int32()}
 
 
 def _state_row(visit: int, block: int, rounds: int, s: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -153,7 +152,7 @@ def _first_state(wanted: list[int], visits: int) -> Callable:
                 k = np.maximum(1, (n // SCALE)[:, None] * ps + -(-(n % SCALE)[:, None] * ps // SCALE)).ravel()
                 m = np.repeat(n, len(ps))
                 none = np.full(len(m), np.nan)
-                s = {"gs": g, "n": n, "k": k, "m": m, "lo": none, "hi": none, "found": none, "done": np.zeros(len(m), bool), "took": np.zeros(len(g), np.int32)}
+                s = {"gs": g, "n": n, "k": k, "m": m, "lo": none, "hi": none, "found": none, "done": np.zeros(len(m), bool), "pivot": none, "took": np.zeros(len(g), np.int32)}
                 yield _state_row(block % visits, block, 0, s)
 
     return first
@@ -189,8 +188,8 @@ def _asks(last: bool) -> Callable:
                 first, _ = _ranges(s, batch.column("rounds")[r].as_py(), last)
                 if len(first):
                     g = np.repeat(s["gs"], len(s["k"]) // len(s["gs"]))[first]
-                    lists = [pa.array([x], pa.list_(t)) for x, t in ((g, pa.int64()), (s["lo"][first], pa.float64()), (s["hi"][first], pa.float64()))]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[r].as_py()], pa.int64()), *lists], ["block", "ag", "alo", "ahi"])
+                    lists = [pa.array([x], pa.list_(t)) for x, t in ((g, pa.int64()), *((s[c][first], pa.float64()) for c in ("lo", "hi", "pivot")))]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[r].as_py()], pa.int64()), *lists], ["block", "ag", "alo", "ahi", "apivot"])
 
     return ask
 
@@ -221,7 +220,9 @@ def _parts(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return run, begin, np.maximum(begin, end)
 
 
-_MESSAGE = "block long, lane int, at binary, a binary, b binary"
+_FIELDS = ("at", "a", "b", "c", "d", "e")
+_MESSAGE = "block long, lane int, " + ", ".join(f"{c} binary" for c in _FIELDS)
+_ASKS = "block long, ag array<long>, alo array<double>, ahi array<double>, apivot array<double>"
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -235,11 +236,11 @@ def _unpacked(x: bytes) -> np.ndarray:
     return values if values.dtype == np.float64 else values.astype(np.int64)
 
 
-def _message(block: int, lane: int, at: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+def _message(block: int, lane: int, at: np.ndarray, *said: np.ndarray) -> pa.RecordBatch:
     """What a run says of the ranges ``at`` (ascending), which travel as their distances."""
-    lists = {"at": np.diff(at, prepend=0), "a": a} | ({} if b is None else {"b": b})
+    lists = dict(zip(_FIELDS, (np.diff(at, prepend=0), *said)))
     head = {"block": pa.array([block], pa.int64()), "lane": pa.array([lane], pa.int32())}
-    return pa.RecordBatch.from_pydict(head | {c: pa.array([_packed(lists[c]) if c in lists else None], pa.binary()) for c in ("at", "a", "b")})
+    return pa.RecordBatch.from_pydict(head | {c: pa.array([_packed(lists[c]) if c in lists else None], pa.binary()) for c in _FIELDS})
 
 
 def _place(batch: pa.RecordBatch, r: int) -> tuple[int, int]:
@@ -257,15 +258,17 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each open range the run's values below and at the pivot."""
+    """For each open range the run's values below, at and above the pivot, and the medians of those below and above (NaN for none)."""
     for batch in batches:
         for r in range(batch.num_rows):
             run, i, j = _parts(batch, r)
             at = np.flatnonzero(j > i)
             if len(at):
-                pivot = _list(batch.column("pivot"), r)[at]
-                below = _bisect(run, i[at], j[at], pivot, False)
-                yield _message(*_place(batch, r), at, below - i[at], _bisect(run, below, j[at], pivot, True) - below)
+                pivot, i, j = _list(batch.column("apivot"), r)[at], i[at], j[at]
+                lower = _bisect(run, i, j, pivot, False)
+                upper = _bisect(run, lower, j, pivot, True)
+                low, high = (np.where(b > a, run[np.minimum((a + b - 1) >> 1, len(run) - 1)], np.nan) for a, b in ((i, lower), (upper, j)))
+                yield _message(*_place(batch, r), at, lower - i, upper - lower, j - upper, low, high)
 
 
 def _remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +283,10 @@ def _remain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    """(at, a, b) of all messages of a block, joined."""
-    parts = [(np.cumsum(_unpacked(at)), _unpacked(a), _unpacked(b) if b else np.zeros(0)) for batch in batches for at, a, b in zip(*(batch.column(c).to_pylist() for c in ("at", "a", "b")))]
-    return [np.concatenate(x) for x in zip(*parts)]
+    """The ranges of all messages of a block, joined, and what is said of them."""
+    rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in _FIELDS))]
+    lists = [[_unpacked(x) for x in column if x is not None] for column in zip(*rows)]
+    return [np.concatenate(x if i else [np.cumsum(y) for y in x]) for i, x in enumerate(lists) if x]
 
 
 def _pivots(at: np.ndarray, median: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -296,13 +300,22 @@ def _pivots(at: np.ndarray, median: np.ndarray, weight: np.ndarray) -> tuple[np.
     return at[first], median[np.searchsorted(upto, before + (total + 1) // 2)], total
 
 
-def _sums(at: np.ndarray, below: np.ndarray, equal: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]]))
-    return at[order][first], np.add.reduceat(below[order], first), np.add.reduceat(equal[order], first)
+def _sums(at: np.ndarray, below: np.ndarray, equal: np.ndarray, above: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The counts added up, and the weighted medians of the proposals for both sides."""
+    ranges, place = np.unique(at, return_inverse=True)
+    counts = [np.bincount(place, weights=x, minlength=len(ranges)).astype(np.int64) for x in (below, equal, above)]
+    sides = []
+    for median, weight in ((low, below), (high, above)):
+        side = np.full(len(ranges), np.nan)
+        there = weight > 0
+        if there.any():
+            of, pivot, _ = _pivots(place[there], median[there], weight[there])
+            side[of] = pivot
+        sides.append(side)
+    return ranges, *counts, *sides
 
 
-def _values(at: np.ndarray, value: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, ...]:
+def _values(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((value, at))
     return at[order], value[order]
 
@@ -326,20 +339,31 @@ def _reduced(messages: DataFrame, lanes: int, merge: Callable, fields: dict[str,
     return messages.groupBy("block").applyInArrow(whole, "block long, " + ", ".join(f"{n} {t}" for n, t in fields.items()))
 
 
+def _aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state with its first pivots."""
+    for batch in batches:
+        for r in range(batch.num_rows):
+            s = {c: x.copy() for c, x in _read_state(batch, r).items()}
+            _, number = _ranges(s, 0, False)
+            at = np.flatnonzero(number >= 0)
+            s["pivot"][at] = _list(batch.column("median"), r)[number[at]]
+            yield _state_row(batch.column("visit")[r].as_py(), batch.column("block")[r].as_py(), 0, s)
+
+
 def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The state after a round: the side of the pivot that can't hold the rank is discarded."""
+    """The state after a round: the side of the pivot that can't hold the rank is discarded, the other one's proposals give the next pivot."""
     for batch in batches:
         for r in range(batch.num_rows):
             s, rounds = {c: x.copy() for c, x in _read_state(batch, r).items()}, batch.column("rounds")[r].as_py()
             _, number = _ranges(s, rounds, False)
             at = np.flatnonzero(number >= 0)
-            pivot, below, equal = (_list(batch.column(c), r)[number[at]] for c in ("pivot", "below", "equal"))
-            k = s["k"][at]
+            below, equal, above, low, high = (_list(batch.column(c), r)[number[at]] for c in ("below", "equal", "above", "low", "high"))
+            k, pivot = s["k"][at], s["pivot"][at]
             left, here = k <= below, (k > below) & (k <= below + equal)
             right = ~left & ~here
             s["done"][at[here]], s["found"][at[here]] = True, pivot[here]
-            s["hi"][at[left]], s["m"][at[left]] = pivot[left], below[left]
-            s["lo"][at[right]], s["m"][at[right]] = pivot[right], (s["m"][at] - below - equal)[right]
+            s["hi"][at[left]], s["m"][at[left]], s["pivot"][at[left]] = pivot[left], below[left], low[left]
+            s["lo"][at[right]], s["m"][at[right]], s["pivot"][at[right]] = pivot[right], above[right], high[right]
             s["k"][at[right]] = (k - below - equal)[right]
             s["took"][np.unique(at // (len(s["k"]) // len(s["gs"])))] += 1
             yield _state_row(batch.column("visit")[r].as_py(), batch.column("block")[r].as_py(), rounds + 1, s)
@@ -385,19 +409,19 @@ def select_ranks(rows: DataFrame, groups: DataFrame, total: int, wanted: list[in
 
 
 def _selected(runs: DataFrame, state: DataFrame, lanes: int) -> DataFrame:
-    start = state
+    asks = state.mapInArrow(_asks(False), _ASKS)
+    proposals = runs.join(F.broadcast(asks), "block").mapInArrow(_propose, _MESSAGE)
+    pivots = _reduced(proposals, lanes, _pivots, {"median": "array<double>", "weight": "array<long>"})
+    state = staged(state.join(F.broadcast(pivots), "block").mapInArrow(_aim, _STATE), "state")
     while not state.where("open").isEmpty():
-        asks = state.where("open").mapInArrow(_asks(False), "block long, ag array<long>, alo array<double>, ahi array<double>")
-        proposals = runs.join(F.broadcast(asks), "block").mapInArrow(_propose, _MESSAGE)
-        pivots = _reduced(proposals, lanes, _pivots, {"pivot": "array<double>"})
-        aimed = staged(asks.join(F.broadcast(pivots), "block"), "pivots")
-        counted = runs.join(F.broadcast(aimed), "block").mapInArrow(_count, _MESSAGE)
-        counts = _reduced(counted, lanes, _sums, {"below": "array<long>", "equal": "array<long>"})
-        moved = state.where("open").join(F.broadcast(aimed.select("block", "pivot")), "block").join(F.broadcast(counts), "block").mapInArrow(_advance, _STATE)
+        asks = state.where("open").mapInArrow(_asks(False), _ASKS)
+        counted = runs.join(F.broadcast(asks), "block").mapInArrow(_count, _MESSAGE)
+        counts = _reduced(counted, lanes, _sums, {"below": "array<long>", "equal": "array<long>", "above": "array<long>", "low": "array<double>", "high": "array<double>"})
+        moved = state.where("open").join(F.broadcast(counts), "block").mapInArrow(_advance, _STATE)
         after = staged(state.where(~F.col("open")).unionByName(moved), "state")
-        discard(aimed, *([state] if state is not start else []))
+        discard(state)
         state = after
-    asks = state.mapInArrow(_asks(True), "block long, ag array<long>, alo array<double>, ahi array<double>")
+    asks = state.mapInArrow(_asks(True), _ASKS)
     parts = runs.join(F.broadcast(asks), "block").mapInArrow(_remain, _MESSAGE)
     left = _reduced(parts, 1, _values, {"at": "array<long>", "value": "array<double>"})
     return state.join(left, "block", "left").mapInArrow(_finish, _FOUND)
