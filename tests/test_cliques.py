@@ -82,3 +82,46 @@ def test_paths_of_one_read_are_nodes(spark, monkeypatch):
 def test_depth_is_a_clique():
     assert cl.deepest([]) == 0
     assert cl.deepest([np.array([[1, 5], [4, 9]]), np.array([[9, 12], [3, 5]]), np.array([[5, 5]]), np.array([[12, 20]])]) == 2
+
+
+def _overlap(x, y):
+    return any(a < d and c < b and a < b and c < d for a, b in x for c, d in y)
+
+
+def test_paths_of_a_gene_leave_no_branch(spark, monkeypatch):
+    r, rows = random.Random(7), set()
+    while len(rows) < 400:
+        at = sorted(r.sample(range(8), r.choice([2, 2, 4, 6, 8])))
+        rows.add(tuple((100 * a + r.randrange(3), 100 * b + 50 - r.randrange(3)) for a, b in zip(at[::2], at[1::2])))
+    edges = sum(_overlap(x, y) for x, y in itertools.combinations(rows, 2))
+    nodes = spark.createDataFrame([(f, c, list(x)) for f, c in (("f", "A"), ("f", "B"), ("g", None)) for x in rows], "bam_file string, chrom string, segments array<struct<jx_start:int,jx_end:int>>")
+    monkeypatch.delattr(cl, "_finished")
+    assert sorted(tuple(x) for x in cl.path_cliques(nodes, "bam_file", 100_000).collect()) == [("f", 800, 2 * edges, 342, True), ("g", 400, edges, 342, True)]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_bounds(seed):
+    r = random.Random(seed)
+    segments = [np.array([(s, s + r.randrange(0, 12)) for s in (r.randrange(60) for _ in range(r.choice([1, 1, 3])))]) for _ in range(40)]
+    edges = sum(_overlap(x, y) for x, y in itertools.combinations(segments, 2))
+    assert sum(sum(map(int.bit_count, cl.conflicts(part))) for part in cl.components(segments)) == 2 * edges
+    best, exact = cl.largest_clique(cl.conflicts(segments))
+    assert exact
+    for known in range(best + 2):
+        kept, n = cl._core(segments, known)
+        bound, own = cl._ordered(kept, known)
+        assert n == edges and (own or best <= known)
+        if best > known:
+            assert cl.largest_clique(cl.conflicts(own)) == (best, True) and bound >= best
+        assert known <= cl.extended(own, cl.Conflicts(own), known, bound) <= max(best, known)
+
+
+@pytest.mark.parametrize("steps", [1, 50])
+def test_rounds_end(spark, steps):
+    r = random.Random(steps)
+    parts = {(g, p): [np.array([(s, s + r.randrange(1, 12)) for s in (r.randrange(60) for _ in range(r.choice([1, 3])))]) for _ in range(25)] for g in ("f", None) for p in ("0", "0:B")}
+    graphs = spark.createDataFrame([(g, p, [x.astype(np.int64).tobytes() for x in own]) for (g, p), own in parts.items()], "g string, part string, graph array<binary>")
+    branches = spark.createDataFrame([(g, p, 1, (cl._bytes((1 << 25) - 1), 0)) for g, p in parts], "g string, part string, clique_number long, b struct<candidates:binary,size:int>")
+    found = cl._finished(graphs, branches, branches.select("g", "clique_number"), 3, steps)
+    want = {g: max(cl.largest_clique(cl.conflicts(parts[g, p]))[0] for p in ("0", "0:B")) for g in ("f", None)}
+    assert {x["g"]: x["n"] for x in found.groupBy("g").agg(F.max("clique_number").alias("n")).collect()} == want
